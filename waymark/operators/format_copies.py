@@ -1,0 +1,201 @@
+"""Records that are the same but for white space, letter case, punctuation or the order of their fields.
+
+Two texts are copies if they have the same words in the same order before the first `?` and equally often the same
+fields, in any order, after it. Words are unbroken runs of letters and digits, in any case; fields are parted by `&` or
+`;`, and those without words don't count.
+
+A table over all code points says of each character whether it is skipped or what it folds to. The characters of a batch
+go through it as one array into polynomial hashes (one for the path, one for each field, the latter added up, so that
+their order doesn't matter); canonical strings are never built. Each row of a group with equal hashes is then compared
+with the first record of the group, symbol by symbol with all others skipped; rows that only share the hashes are
+grouped anew by their exact words.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
+
+from waymark.storage import materialise
+
+_CHUNK = 2_000_000  # characters handled at once
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_AMP, _SEMI, _ASK = ord("&"), ord(";"), ord("?")
+
+
+@functools.lru_cache(1)
+def fold_table() -> np.ndarray:
+    """For each code point what it folds to; 0: it is skipped."""
+    table = np.zeros(0x110000, np.uint32)
+    for point in range(0x110000):
+        c = chr(point)
+        if c.isalnum():
+            low = c.lower()
+            table[point] = ord(low) if len(low) == 1 else point
+    return table
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Symbols:
+    """The kept symbols of some texts, in runs of one path or one field each."""
+
+    def __init__(self, texts: list[str]):
+        self.n = n = len(texts)
+        raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+        sizes = np.array([len(b) // 4 for b in raw], np.int64)
+        codes = np.frombuffer(b"".join(raw), np.uint32)
+        row = np.repeat(np.arange(n), sizes)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - starts[row]
+        ask = sizes.copy()  # of the first question mark of each row
+        marks = np.flatnonzero(codes == _ASK)
+        np.minimum.at(ask, row[marks], place[marks])
+        in_query = place > ask[row]
+        opens = (place == 0) | (place == ask[row]) | (in_query & ((codes == _AMP) | (codes == _SEMI)))
+        run = np.cumsum(opens) - 1
+        kept = fold_table()[codes]
+        keep = kept > 0
+        new_word = keep & np.append(True, ~keep[:-1] | (run[1:] != run[:-1])) if len(codes) else keep
+        at = np.flatnonzero(keep)
+        self.symbols, self.word = kept[at], new_word[at]
+        runs, first = np.unique(run[at], return_index=True)
+        self.first = first  # of the symbols of each run that has any
+        self.count = np.diff(np.append(first, len(at)))
+        head = at[first] if len(at) else np.zeros(0, np.int64)
+        self.row, self.is_field = row[head], in_query[head]
+        within = np.arange(len(at)) - np.repeat(first, self.count)
+        words = np.cumsum(self.word)
+        gaps = words - np.repeat(words[first] if len(at) else words, self.count)
+        self.place = within + gaps  # a word's end takes a place of its own
+        self.hashes = [self._hash(b) for b in _BASES]
+
+    def _hash(self, base: np.uint64) -> np.ndarray:
+        """The polynomial hash of each run."""
+        if not len(self.symbols):
+            return np.zeros(0, np.uint64)
+        powers = np.multiply.accumulate(np.full(int(self.place.max()) + 1, base, np.uint64))
+        return np.add.reduceat(_mix(self.symbols.astype(np.uint64) * base) * powers[self.place], self.first)
+
+    def row_hashes(self) -> list[np.ndarray]:
+        out = []
+        for k, h in enumerate(self.hashes):
+            mixed = np.where(self.is_field, _mix(h + np.uint64(0x5851F42D4C957F2D + k)), _mix(h) * np.uint64(3))
+            total = np.zeros(self.n, np.uint64)
+            np.add.at(total, self.row, mixed)
+            out.append(total.view(np.int64))
+        return out
+
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, size, kind and symbols of the runs: of each row the path, then the fields by their hashes."""
+        order = np.lexsort((self.hashes[1], self.hashes[0], self.is_field, self.row))
+        count = self.count[order]
+        shift = np.cumsum(count) - count
+        index = np.repeat(self.first[order] - shift, count) + np.arange(int(count.sum()))
+        return self.row[order], count, self.is_field[order], self.symbols[index].astype(np.int64) * 2 + self.word[index]
+
+
+def exact_key(text: str) -> str:
+    """The words of the path and the sorted fields. Only for rows whose hashes collide, and for tests."""
+    table = fold_table()
+
+    def words(part: str) -> str:
+        return " ".join("".join(chr(k) if (k := table[ord(c)]) else " " for c in part).split())
+
+    path, _, query = text.partition("?")
+    fields = sorted(w for f in query.replace(";", "&").split("&") if (w := words(f)))
+    return "\n".join([words(path), *fields])
+
+
+def _chunks(sizes: list[int]):
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > _CHUNK:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    yield begin, len(sizes)
+
+
+def hash_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [Symbols(texts[a:b]).row_hashes() for a, b in _chunks([len(t) for t in texts])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def same_texts(left: list[str], right: list[str]) -> np.ndarray:
+    """Of each pair, whether they are copies. Both sides advance together over what isn't skipped."""
+    out = np.zeros(len(left), bool)
+    for a, b in _chunks([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
+        rows_l, count_l, kind_l, sym_l = Symbols(left[a:b]).in_order()
+        rows_r, count_r, kind_r, sym_r = Symbols(right[a:b]).in_order()
+        n = b - a
+        shape = np.ones(n, bool)
+        runs_l, runs_r = np.bincount(rows_l, minlength=n), np.bincount(rows_r, minlength=n)
+        size_l, size_r = (np.bincount(r, weights=c, minlength=n).astype(np.int64) for r, c in ((rows_l, count_l), (rows_r, count_r)))
+        shape &= (runs_l == runs_r) & (size_l == size_r)
+        pick_l, pick_r = shape[rows_l], shape[rows_r]
+        differ = (count_l[pick_l] != count_r[pick_r]) | (kind_l[pick_l] != kind_r[pick_r])
+        shape[rows_l[pick_l][differ]] = False
+        row_l, row_r = np.repeat(rows_l, count_l), np.repeat(rows_r, count_r)
+        pick_l, pick_r = shape[row_l], shape[row_r]
+        shape[row_l[pick_l][sym_l[pick_l] != sym_r[pick_r]]] = False
+        for i in np.flatnonzero(~shape):  # fields of equal hashes may stand in another order
+            shape[i] = exact_key(left[a + i]) == exact_key(right[a + i])
+        out[a:b] = shape
+    return out
+
+
+@F.pandas_udf(StructType().add("h1", LongType()).add("h2", LongType()))
+def _hashes(texts: pd.Series) -> pd.DataFrame:
+    h1, h2 = hash_texts(list(texts))
+    return pd.DataFrame({"h1": h1, "h2": h2})
+
+
+@F.pandas_udf(StringType())
+def _key_if_apart(texts: pd.Series, firsts: pd.Series) -> pd.Series:
+    """Null where the text is a copy of the first record's (firsts is null where both are equal as they stand)."""
+    out = np.full(len(texts), None, object)
+    rows = np.flatnonzero(firsts.notna().to_numpy())
+    left, right = texts.to_numpy(object)[rows], firsts.to_numpy(object)[rows]
+    for i in rows[~same_texts(list(left), list(right))] if len(rows) else ():
+        out[i] = exact_key(texts.iloc[i])
+    return pd.Series(out)
+
+
+def format_groups(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """first_id, copy_id: each record that is a copy of one with a smaller id, and the smallest id of its group.
+
+    Null texts are no records; texts without any word (empty ones too) are copies of each other. Rows that repeat an id
+    with the same text are one record. Other columns don't matter. A group of any size is met with partial aggregation
+    and a join whose skewed partitions adaptive execution splits; no task holds a group."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
+    hashed = rows.select("_id", "_text", _hashes("_text").alias("_h")).select("_id", "_text", "_h.h1", "_h.h2")
+    groups = hashed.groupBy("h1", "h2").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last"), F.min_by("_text", "_id").alias("_first"))
+    groups = groups.where("first_id < _last").drop("_last")
+    members = hashed.join(groups, ["h1", "h2"]).where("_id <> first_id")
+    key = _key_if_apart("_text", F.when(F.col("_text") != F.col("_first"), F.col("_first")))
+    checked = materialise(members.select("first_id", "_id", key.alias("_key")), "copies")
+    apart = checked.where("_key is not null").select("_id", "_key")
+    anew = apart.groupBy("_key").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").drop("_last")
+    rest = apart.join(anew, "_key").where("_id <> first_id").select("first_id", "_id")
+    copies = checked.where("_key is null").select("first_id", "_id").unionByName(rest)
+    return copies.distinct().select("first_id", F.col("_id").alias("copy_id"))
+
+
+def collapse_formats(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row a group: first_id and n_copies (records in it, the first included; 1 where there is no copy)."""
+    copies = materialise(format_groups(df, id_col, text), "copies")
+    counts = copies.groupBy("first_id").agg((F.count(F.lit(1)) + 1).alias("n_copies"))
+    ids = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("first_id")).distinct()
+    firsts = ids.join(copies.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti")
+    return firsts.join(counts, "first_id", "left").select("first_id", F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
