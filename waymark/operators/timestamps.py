@@ -46,7 +46,7 @@ _NAME = r" ?(?P<zone>A[A/_+\-9]*)"
 _BRACKET = r" ?\[(?P<bracket>A[A/_+\-9]*)\]"
 _ZONE = f"(?:(?:{_OFF}|{_NAME})?(?:{_BRACKET})?)"
 _CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?"
-_HALF = r"(?: ?(?P<half>AA))?"
+_HALF = r"(?: ?(?P<half>AA)(?!A))?"
 
 #: name -> expression over masks. Groups name the fields; the name decides how the date is read.
 GRAMMAR = {
