@@ -29,6 +29,7 @@ from waymark.llm.tokens import token_count
 from waymark.storage import materialise
 
 BLOCK = 5_000
+GIANT = 0.002
 _EDGE = 1e-9
 
 
@@ -47,9 +48,39 @@ def expected_copies(sizes: dict[str, int], targets: Iterable[tuple[str, float |
     return copies
 
 
+def settle_giants(chance: list[float], size: list[float], draw: random.Random) -> list[float]:
+    """Decide the units of over GIANT of the block's size first, each against all others at once.
+
+    In a window of three a unit far larger than its neighbours would hardly move and be left for the landing. Here it moves
+    at full pace along a null vector that spreads what balances it evenly over the block. There are at most 1 / GIANT."""
+    out, tokens = np.array(chance, float), np.array(size, float)
+    flying = (out > 0) & (out < 1)
+    for k in np.flatnonzero(flying & (tokens > GIANT * tokens[flying].sum())):
+        while 0 < out[k] < 1:
+            rest = (out > 0) & (out < 1)
+            rest[k] = False
+            t = tokens[rest]
+            spread = t.var() if len(t) > 1 else 0.0
+            if not spread:
+                break
+            slope = -(tokens[k] - t.mean()) / (len(t) * spread)
+            way = np.zeros(len(out))
+            way[k], way[rest] = 1.0, -1.0 / len(t) + slope * (t - t.mean())
+            up, down = _reach(out, way), _reach(out, -way)
+            out = out + (up if draw.random() * (up + down) < down else -down) * way
+            out[out < _EDGE], out[out > 1 - _EDGE] = 0.0, 1.0
+    return out.tolist()
+
+
+def _reach(chance: np.ndarray, way: np.ndarray) -> float:
+    moving = np.abs(way) > 1e-15
+    c, w = chance[moving], way[moving]
+    return float(np.min(np.where(w > 0, (1 - c) / np.abs(w), c / np.abs(w))))
+
+
 def fly(chance: list[float], size: list[float], draw: random.Random, land: bool) -> list[float]:
     """The flight over one block; with land, also the landing."""
-    out, window = list(chance), []
+    out, window = settle_giants(chance, size, draw), []
 
     def move(units: list[int], way: list[float]) -> None:
         up = min((1 - out[k]) / w if w > 0 else out[k] / -w for k, w in zip(units, way, strict=True) if w)
@@ -82,7 +113,8 @@ def fly(chance: list[float], size: list[float], draw: random.Random, land: bool)
 
 def _flight(land: bool, seed: int):
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "n_tokens"], kind="stable")
+        # the largest fly first, so that what is left for the landing is small
+        rows = rows.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True], kind="stable")
         draw = random.Random(f"{seed}/{key[0]}/{int(key[1])}")
         chance = fly(rows["chance"].tolist(), rows["n_tokens"].astype(float).tolist(), draw, land)
         return rows.assign(chance=np.array(chance, float))
