@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waymark.llm.tokens import token_count
 from waymark.storage import materialise
@@ -137,12 +138,13 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
 
     done, flying = [units.where("chance = 0")], units.where("chance > 0")
     counts = {s: r.n for s, r in stats.items()}
+    flown_schema = StructType([*units.schema.fields, StructField("block", LongType())])
     while True:
         blocks = {s: max(1, math.ceil(n / block)) for s, n in counts.items()}
         last = max(blocks.values(), default=1) == 1
         parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("source")), F.lit(1)) if blocks else F.lit(1)
         grouped = flying.withColumn("block", F.pmod("order", parts)).groupBy("source", "block")
-        flown = materialise(grouped.applyInPandas(_flight(last, seed), units.schema.add("block", "long")).drop("block"), "flight")
+        flown = materialise(grouped.applyInPandas(_flight(last, seed), flown_schema).drop("block"), "flight")
         decided = flown.where("chance = 0 or chance = 1") if not last else flown
         done.append(decided)
         if last:
