@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.mixing import mixed, shares
+from waymark.llm.subjects import assigned, composition
 from waymark.llm.tokens import token_ids
 
 
@@ -26,5 +27,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mixed(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {q.__name__: q for q in (p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = [r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().orderBy("subject").collect()]  # a fixed dozen
+    return assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), areas)
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composition(p8_found(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"))
+
+
+QUERIES = {q.__name__: q for q in (p6_ids, p7_mix, p7_shares, p8_found, p8_composition)}
 ORACLES: dict[str, str] = {}
