@@ -164,8 +164,8 @@ def failed_lines(df: DataFrame, feed: str = "feed", line: str = "line") -> DataF
     return out.select(*rest, F.col("_fault.reason").alias("reason"), F.col("_fault.detail").alias("detail")).where("reason is not null")
 
 
-def loaded_lines(df: DataFrame, name: str, id_col: str = "line_id", feed: str = "feed", line: str = "line") -> DataFrame:
-    """id_col and the columns of the feed `name` of each of its lines that parses and is valid. Values are text."""
-    rows = df.where(F.col(feed) == name).select(F.col(id_col), _read(F.col(feed), F.col(line)).alias("_read"))
+def loaded_lines(df: DataFrame, name: str, id_col: str = "line_id", feed: str = "feed", line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns to keep and those of the feed `name` of each of its lines that parses and is valid. Values are text."""
+    rows = df.where(F.col(feed) == name).select(F.col(id_col), *keep, _read(F.col(feed), F.col(line)).alias("_read"))
     rows = rows.where("_read.reason is null")
-    return rows.select(id_col, *[F.element_at("_read.fields", i).alias(c) for i, c in enumerate(FEEDS[name][0], 1)])
+    return rows.select(id_col, *keep, *[F.element_at("_read.fields", i).alias(c) for i, c in enumerate(FEEDS[name][0], 1)])
