@@ -43,35 +43,28 @@ def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("host_id", "line_id", "robots_id", "agent", normalize_path(F.col("pattern")).alias("pattern"), (F.lower("allow") == "true").alias("allow"))
 
 
-def host_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One policy a host of all its rules, whatever their agent."""
-    rules = host_rules(spark, sf_dir).select("host_id", "pattern", "allow").distinct()
-    rules = rules.withColumns({"like_pattern": like_pattern(F.col("pattern")), "kind": pattern_kind(F.col("pattern")), "len": F.octet_length("pattern")})
-    packed = F.collect_list(F.struct("len", "allow", "pattern", "like_pattern", "kind"))
-    return rules.where("kind is not null").groupBy("host_id").agg(policy.sorted_rules(packed).alias("rules"))
-
-
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entry_listings").where("loc is not null").select("entry_id", "host_id", "loc")
 
 
 def by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return located(spark, sf_dir).join(host_policies(spark, sf_dir), "host_id", "left").withColumn("path", normalize_path(url_path(F.col("loc"))))
+    """entry_id, path, len and allow of the deciding one of all rules of its host, whatever their agent."""
+    rules = host_rules(spark, sf_dir).select("host_id", "pattern", "allow").distinct()
+    rules = rules.withColumns({"like_pattern": like_pattern(F.col("pattern")), "kind": pattern_kind(F.col("pattern")), "len": F.octet_length("pattern")})
+    paths = located(spark, sf_dir).select("host_id", "entry_id", normalize_path(url_path(F.col("loc"))).alias("path"))
+    return paths.join(match.decide(paths, rules, ["host_id"], "entry_id"), ["host_id", "entry_id"], "left").select("entry_id", "path", "len", "allow")
 
 
 def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = by_host(spark, sf_dir)
-    verdict = match.try_allowed(F.lit(None).cast("boolean"), F.col("rules"), F.col("path"))
-    return rows.select("entry_id", F.coalesce(verdict, F.lit(True)).alias("allowed"))
+    return robots_try_verdict(spark, sf_dir).select("entry_id", F.coalesce("verdict", F.lit(True)).alias("allowed"))
 
 
 def robots_try_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_host(spark, sf_dir).select("entry_id", match.try_allowed(F.lit(None).cast("boolean"), F.col("rules"), F.col("path")).alias("verdict"))
+    return by_host(spark, sf_dir).select("entry_id", F.when(F.col("path") == "/robots.txt", True).otherwise(F.col("allow")).alias("verdict"))
 
 
 def robots_first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = by_host(spark, sf_dir).select("entry_id", match.first_rule(F.col("rules"), F.col("path")).alias("_r"))
-    return rows.where("_r is not null").select("entry_id", "_r.len", "_r.allow")
+    return by_host(spark, sf_dir).where("len is not null").select("entry_id", "len", "allow")
 
 
 def robots_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +98,9 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = policy.rule_count(F.col("rules"))
-    return sample_policies(spark, True).select("robots_id", "agent", "selected", "always", n.alias("n_rules"), (n == 0).alias("is_empty"))
+    """n_rules is -1 where one verdict holds for all."""
+    n = F.coalesce(policy.rule_count(F.col("rules")), F.lit(-1))
+    return sample_policies(spark, True).select("robots_id", "agent", "selected", "always", n.alias("n_rules"), F.when(n >= 0, n == 0).alias("is_empty"))
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +155,7 @@ def robots_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = policy.to_json(F.col("selected"), F.col("always"), F.col("rules"), F.col("crawl_delay"), F.col("sitemaps"))
     back = p.select("robots_id", "agent", policy.from_json(text).alias("_p"))
     many = lambda allow: F.size(F.filter("_p.rules", lambda r: r["allow"] == allow))
-    size = lambda c: F.when(F.col("_p.rules").isNotNull(), c)
+    size = lambda c: F.when(F.col("_p.rules").isNotNull(), c).otherwise(-1)
     return back.select("robots_id", "agent", "_p.selected", "_p.always", size(many(True)).alias("n_allow"), size(many(False)).alias("n_disallow"),
         "_p.crawl_delay", F.size("_p.sitemaps").alias("n_sitemaps"), "_p.error")
 
@@ -255,7 +249,7 @@ hit AS (SELECT p.entry_id, s.agent, any_value(p.path) AS path, arg_max(r.allow,
 SELECT entry_id, agent, CASE WHEN path = '/robots.txt' THEN true ELSE allow END AS verdict, CASE WHEN path = '/robots.txt' THEN true ELSE coalesce(allow, true) END AS allowed FROM hit""",
     "robots_delay": _POLICY + "SELECT robots_id, agent, crawl_delay FROM delays",
     "robots_sitemaps": _POLICY + "SELECT robots_id, pos, sitemap FROM maps",
-    "robots_policy_stats": _POLICY + "SELECT robots_id, agent, selected, always, CASE WHEN always IS NULL THEN n END AS n_rules, CASE WHEN always IS NULL THEN n = 0 END AS is_empty FROM stats",
+    "robots_policy_stats": _POLICY + "SELECT robots_id, agent, selected, always, CASE WHEN always IS NULL THEN n ELSE -1 END AS n_rules, CASE WHEN always IS NULL THEN n = 0 END AS is_empty FROM stats",
     "robots_access": rf"""SELECT entry_id, CASE lower(access_result) WHEN 'redirect' THEN true WHEN 'unavailable' THEN true WHEN 'unreachable' THEN false
   ELSE NOT starts_with({norm_sql(path_sql("loc"))}, '/docs') END AS allowed FROM entry_listings JOIN hosts USING (host_id) WHERE loc IS NOT NULL""",
     "robots_wildcard_kind": _LINES + f"SELECT line_id, pattern, {kind_sql('pattern')} AS kind, {like_sql('pattern')} AS like_pattern FROM (SELECT line_id, {norm_sql('f[3]')} AS pattern FROM judged WHERE reason IS NULL AND feed = 'rule')",
@@ -271,6 +265,6 @@ SELECT robots_id, '# made from rules' || chr(10) || chr(10) || string_agg(t, chr
     "robots_build_parse": _CLEAN + rf""", {_AGENTS}, docs AS (SELECT DISTINCT robots_id FROM clean), fit AS (SELECT d.robots_id, a.agent, arg_max(c.agent, strlen(c.agent)) AS hit FROM docs d CROSS JOIN agents a LEFT JOIN clean c ON c.robots_id = d.robots_id AND starts_with(lower(a.agent), c.agent) GROUP BY ALL),
 ok AS (SELECT * FROM clean WHERE ({kind_sql("pattern")}) IS NOT NULL)
 SELECT f.robots_id, f.agent, coalesce(f.hit, '*') AS selected, (SELECT count(*) FROM ok c WHERE c.robots_id = f.robots_id AND c.agent = coalesce(f.hit, '*'))::INT AS n_rules FROM fit f""",
-    "robots_cache_roundtrip": _POLICY + """SELECT s.robots_id, s.agent, s.selected, s.always, CASE WHEN s.always IS NULL THEN s.yes END AS n_allow, CASE WHEN s.always IS NULL THEN s.n - s.yes END AS n_disallow,
+    "robots_cache_roundtrip": _POLICY + """SELECT s.robots_id, s.agent, s.selected, s.always, CASE WHEN s.always IS NULL THEN s.yes ELSE -1 END AS n_allow, CASE WHEN s.always IS NULL THEN s.n - s.yes ELSE -1 END AS n_disallow,
   d.crawl_delay, (SELECT count(*) FROM maps m WHERE m.robots_id = s.robots_id) AS n_sitemaps, NULL::VARCHAR AS error FROM stats s LEFT JOIN delays d ON d.robots_id = s.robots_id AND d.agent = s.agent""",
 }

@@ -19,7 +19,7 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freq_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stamped(spark, sf_dir).select("delivery_id", "loc", "changefreq", F.unix_micros(records.next_date(F.col("changefreq"), F.col("lastmod"))).alias("next_us"))
+    return _stamped(spark, sf_dir).select("delivery_id", "loc", "changefreq", F.unix_micros(records.next_date(F.col("changefreq"), F.col("lastmod"))).alias("next_us")).where("next_us is not null")
 
 
 def freq_outdated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def sitemap_txt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sitemap_xml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse.xml_records(sitemap_xml_build(spark, sf_dir), "urlset", "host_id", "xml")
-    return rows.select("host_id", "loc", F.unix_micros("lastmod").alias("lastmod_us"), "lastmod_offset_min", "priority", "changefreq")
+    return rows.select("host_id", "loc", F.coalesce(F.unix_micros("lastmod"), F.lit(0).cast("long")).alias("lastmod_us"), F.coalesce("lastmod_offset_min", F.lit(0)).alias("lastmod_offset_min"), "priority", "changefreq")
 
 
 def sitemap_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def _loc(c: str = "loc") -> str:
 
 
 ORACLES = {
-    "freq_next": f"SELECT delivery_id, loc, c AS changefreq, epoch_us(lastmod + to_hours(({_HOURS})::INT)) AS next_us FROM (SELECT delivery_id, loc, lastmod, {_FREQ} AS c FROM entry_snapshots)",
+    "freq_next": f"SELECT delivery_id, loc, c AS changefreq, epoch_us(lastmod + to_hours(({_HOURS})::INT)) AS next_us FROM (SELECT delivery_id, loc, lastmod, {_FREQ} AS c FROM entry_snapshots) WHERE lastmod IS NOT NULL AND c NOT IN ('always', 'never')",
     "freq_outdated": f"""WITH r AS (SELECT delivery_id, CASE c WHEN 'always' THEN true WHEN 'never' THEN false ELSE lastmod + to_hours(({_HOURS})::INT) <= TIMESTAMPTZ '{NOW}+00' END AS o FROM (SELECT delivery_id, lastmod, {_FREQ} AS c FROM entry_snapshots))
 SELECT delivery_id, count(*) FILTER (o) AS n_outdated, count(*) FILTER (NOT o) AS n_fresh FROM r GROUP BY ALL""",
     "priority_parse": _LINES + r""", p AS (SELECT line_id, CASE WHEN regexp_full_match(f[3], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(f[3] AS FLOAT) END AS v FROM judged WHERE reason IS NULL AND feed = 'entry'),
@@ -143,7 +143,7 @@ q AS (SELECT line_id, CASE WHEN v BETWEEN 0 AND 1 THEN v END AS parsed FROM p) S
   || coalesce('<priority>' || format('{{:.1f}}', priority) || '</priority>', '') || coalesce('<changefreq>' || changefreq || '</changefreq>', '') || '</url>', '' ORDER BY loc) || '</urlset>' AS xml FROM entries GROUP BY host_id""",
     "sitemap_index_build": _ENTRIES + f"""SELECT host_id, '0-0' AS shard, count(*) AS records, {_HEAD.format("sitemapindex")} || string_agg('<sitemap><loc>' || {_XML} || '</loc>' || coalesce('<lastmod>' || {_MOD} || '</lastmod>', '') || '</sitemap>', '' ORDER BY loc) || '</sitemapindex>' AS xml FROM indexes GROUP BY host_id""",
     "sitemap_txt_parse": _ENTRIES + f"SELECT host_id, (row_number() OVER (PARTITION BY host_id ORDER BY loc) - 1)::INT AS pos, {_loc()} AS loc FROM entries",
-    "sitemap_xml_parse": _ENTRIES + f"SELECT host_id, {_loc()} AS loc, ({_CENTI})::BIGINT AS lastmod_us, CASE WHEN lastmod IS NOT NULL THEN coalesce(off, 0)::INT END AS lastmod_offset_min, format('{{:.1f}}', priority)::FLOAT AS priority, changefreq FROM entries",
+    "sitemap_xml_parse": _ENTRIES + f"SELECT host_id, {_loc()} AS loc, coalesce({_CENTI}, 0)::BIGINT AS lastmod_us, CASE WHEN lastmod IS NOT NULL THEN coalesce(off, 0)::INT ELSE 0 END AS lastmod_offset_min, format('{{:.1f}}', priority)::FLOAT AS priority, changefreq FROM entries",
     "sitemap_index_parse": _ENTRIES + f"SELECT host_id, {_loc()} AS loc, ({_CENTI})::BIGINT AS lastmod_us FROM indexes",
     "sitemap_detect": _ENTRIES + """SELECT kind, count(*) AS n FROM (SELECT DISTINCT host_id, 'plain' AS kind FROM entries UNION ALL SELECT DISTINCT host_id, 'urlset' FROM entries UNION ALL SELECT DISTINCT host_id, 'sitemapindex' FROM indexes
   UNION ALL SELECT 0, CASE WHEN trim(text, ' ') <> '' AND NOT regexp_matches(text, '^[\\s]*<[A-Za-z:]') THEN 'plain' END FROM documents) GROUP BY ALL""",

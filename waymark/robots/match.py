@@ -1,4 +1,4 @@
-"""Verdicts of policies over paths. Rules travel as one sorted array a policy, so that no join compares patterns with paths."""
+"""Verdicts of policies over paths: as a column function over a policy's rule array (few rules), or as joins (many)."""
 
 from __future__ import annotations
 
@@ -29,10 +29,35 @@ def try_allowed(always: Column, rules: Column, path: Column) -> Column:
     return F.when(always.isNotNull(), always).when(normal == "/robots.txt", True).otherwise(first_rule(rules, normal)["allow"])
 
 
-def verdicts(policies: DataFrame, urls: DataFrame, key: str = "robots_id", url: str = "loc") -> DataFrame:
-    """urls with agent, verdict (nullable) and allowed, for each policy of their document. A hash join on the key.
-
-    Only the few columns that a verdict needs go with the policies; adaptive execution broadcasts them if they are small."""
-    held = policies.select(key, "agent", "always", "rules")
-    rows = urls.join(held, key).withColumn("verdict", try_allowed(F.col("always"), F.col("rules"), url_path(F.col(url))))
-    return rows.drop("always", "rules").withColumn("allowed", F.coalesce("verdict", F.lit(True)))
+def decide(paths: DataFrame, rules: DataFrame, key: list[str], ident: str) -> DataFrame:
+    """key, ident, len, allow of the deciding rule of each path that any rule matches.
+
+    paths: key, ident and path (normalised); rules: key, pattern, like_pattern, kind, len, allow. Each rule has a literal
+    head, what stands before its first `*` or `$`, that a path must begin with. So a path meets, by a hash join, only the
+    rules whose head is one of its beginnings, of the lengths that its key's heads have; only those with a `*` are compared
+    as patterns, after a look for what stands behind the last `*`. No rule list travels with the paths, and no join compares all pairs."""
+    head, tail = F.regexp_extract("pattern", r"^[^*$]*", 0), F.regexp_extract("pattern", r"([^*$]*)\$?$", 1)
+    indexed = rules.where("kind is not null").select(*key, head.alias("_head"), tail.alias("_tail"), "like_pattern", "kind", (F.col("len") * 2 + F.col("allow").cast("int")).alias("_rank"))
+    lengths = indexed.groupBy(*key).agg(F.collect_set(F.length("_head")).alias("_lengths"))  # at most the longest rule's length
+    rows = paths.select(*key, ident, "path").join(lengths, key)
+    rows = rows.select(*key, ident, "path", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
+    rows = rows.select(*key, ident, "path", F.expr("left(path, _n)").alias("_head"))
+    met = rows.join(indexed, [*key, "_head"])
+    # a plain prefix holds as its head does; only the others need the path again
+    like = F.call_function("like", "path", "like_pattern", F.lit("!"))
+    holds = (
+        F.when(F.col("kind") == "prefix", True).when(F.col("kind") == "ending", F.col("path") == F.col("_head"))
+        .when(F.col("kind") == "both", F.endswith("path", "_tail") & like).otherwise(F.contains("path", "_tail") & like)
+    )
+    best = met.where(holds).groupBy(*key, ident).agg(F.max("_rank").alias("_rank"))
+    return best.select(*key, ident, F.shiftright("_rank", 1).alias("len"), (F.col("_rank") % 2 == 1).alias("allow"))
+
+
+def verdicts(policies: DataFrame, urls: DataFrame, key: str = "robots_id", url: str = "loc", ident: str = "entry_id") -> DataFrame:
+    """urls with agent, verdict (nullable) and allowed, for each policy of their document. ident is unique in urls."""
+    rows = urls.join(policies.select(key, "agent", "always"), key).withColumn("path", normalize_path(url_path(F.col(url))))
+    rules = policies.where("always is null").select(key, "agent", F.inline("rules"))
+    found = decide(rows.where("always is null and path <> '/robots.txt'").select(key, "agent", ident, "path"), rules, [key, "agent"], ident)
+    rows = rows.join(found.drop("len"), [key, "agent", ident], "left")
+    verdict = F.when(F.col("always").isNotNull(), F.col("always")).when(F.col("path") == "/robots.txt", True).otherwise(F.col("allow"))
+    return rows.withColumns({"verdict": verdict, "allowed": F.coalesce(verdict, F.lit(True))}).drop("always", "path", "allow")
