@@ -311,8 +311,9 @@ def convert(mask: str, texts: list[str], zones: np.ndarray, day_first: np.ndarra
         named = np.array(zones, object)
         ok &= np.array([z is not None for z in named], bool)
     utc = local - offset * 60
-    places = pd.Series(named)
-    for zone, rows in places[places.notna()].groupby(places).indices.items():
+    codes, names = pd.factorize(named)  # -1 where no zone's clock is meant
+    for i, zone in enumerate(names):
+        rows = np.flatnonzero(codes == i)
         utc[rows], good = table.to_utc(str(zone), local[rows])
         ok[rows] &= good
     return np.where(ok, utc, 0) * 1_000_000 + micros, ok
