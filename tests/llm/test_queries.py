@@ -1,0 +1,17 @@
+import os
+
+import pytest
+
+queries = pytest.importorskip("waymark.llm.queries")
+pytest.importorskip("public_tokenizers")
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables aren't here")
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, name):
+    assert queries.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_every_document_has_ids(spark):
+    assert queries.p6_ids(spark, FOLDER).where("ids is not null").count() == queries.table(spark, FOLDER, "documents").count()
