@@ -84,7 +84,7 @@ def lexed(spark, text):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("user-agent: robotxt", [("user-agent", "robotxt")]),
+    ("user-agent: korbot", [("user-agent", "korbot")]),
     ("\nuser-agent: a\n\nuser-agent: b", [("unknown", ""), ("user-agent", "a"), ("unknown", ""), ("user-agent", "b")]),
     ("User-Agent : FooBot # c", [("user-agent", "FooBot")]), ("useragent bar", [("user-agent", "bar")]), ("Dissalow: /x#y", [("disallow", "/x")]),
     ("Disallow:", [("allow", "/")]), ("Allow:", [("allow", "")]), ("allowed: q", [("unknown", "allowed: q")]), ("Sitemap: http://a/s.xml#f", [("sitemap", "http://a/s.xml")]),
