@@ -32,7 +32,7 @@ def agents(spark, *names):
 
 def policies(spark, texts, names=("*",), **options):
     d = docs(spark, *texts)
-    return policy.policies(d, lexer.lex(d), agents(spark, *names), **options)
+    return policy.policies(d, agents(spark, *names), **options)
 
 
 def test_matching(spark):
@@ -154,7 +154,7 @@ def test_policy_attributes(spark):
     assert [r.crawl_delay for r in policies(spark, texts).orderBy("robots_id").collect()] == [5.0, 2.0, None, 7.0, None]
     assert policies(spark, ["Sitemap: https://a/1\nSitemap: b\nSitemap: https://a/2"]).first().sitemaps == ["https://a/1", "https://a/2"]
     d = docs(spark, "Disallow: /a", "Disallow: /a", "Disallow: /a").withColumn("access", F.element_at(F.array(F.lit("successful"), F.lit("redirect"), F.lit("unreachable")), (F.col("robots_id") + 1).cast("int")))
-    assert [r.always for r in policy.policies(d, lexer.lex(d), agents(spark, "x")).orderBy("robots_id").collect()] == [None, True, False]
+    assert [r.always for r in policy.policies(d, agents(spark, "x")).orderBy("robots_id").collect()] == [None, True, False]
 
 
 def test_building_and_reading_back(spark):

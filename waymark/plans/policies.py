@@ -33,8 +33,7 @@ def agents(spark: SparkSession) -> DataFrame:
 
 
 def sample_policies(spark: SparkSession, optimal: bool = False) -> DataFrame:
-    documents = samples(spark)
-    return policy.policies(documents, lexer.lex(documents), agents(spark), optimal)
+    return policy.policies(samples(spark), agents(spark), optimal)
 
 
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +105,7 @@ def robots_policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.lit("User-agent: *\nDisallow: /docs\n"), "UTF-8")
     documents = table(spark, sf_dir, "hosts").select(F.col("host_id").alias("robots_id"), F.lower("access_result").alias("access"), text.alias("content"))
-    held = policy.policies(documents, lexer.lex(documents), agents(spark).where("agent = '*'"))
+    held = policy.policies(documents, agents(spark).where("agent = '*'"))
     urls = located(spark, sf_dir).withColumnRenamed("host_id", "robots_id")
     return match.verdicts(held, urls).select("entry_id", "allowed")
 
@@ -146,7 +145,7 @@ def robots_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def robots_build_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = built(spark, sf_dir).select("robots_id", F.encode("txt", "UTF-8").alias("content"))
-    held = policy.policies(documents, lexer.lex(documents), agents(spark))
+    held = policy.policies(documents, agents(spark))
     return held.select("robots_id", "agent", "selected", F.size("rules").alias("n_rules"))
 
 

@@ -10,6 +10,7 @@ from waymark.plans.policies import norm_sql, path_sql
 from waymark.plans.preparation import _LINES, table
 from waymark.operators.line_errors import loaded_lines
 from waymark.sitemap import build, parse, records
+from waymark.storage import materialise
 
 NOW = "2024-06-01 12:00:00"
 
@@ -89,7 +90,7 @@ def sitemap_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "hosts").select("host_id", F.col("host").alias("_name"))
     documents = build.site(entries(spark, sf_dir).join(hosts, "host_id"), "host_id", "_name")
-    documents = documents.select("url", F.encode("content", "UTF-8").alias("content"))
+    documents = materialise(documents.select("url", F.encode("content", "UTF-8").alias("content")), "sites")
     roots = hosts.select(F.concat(F.lit("https://"), "_name", F.lit("/sitemap-index.xml")).alias("url"))
     return parse.expand(roots, documents).select("root", "loc")
 

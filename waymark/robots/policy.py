@@ -1,6 +1,7 @@
-"""From directives to the policy that a document gives to an agent.
+"""The policy that a document gives to an agent.
 
-A document is at most LIMIT bytes, so windows and arrays by document are bounded.
+`policies` works on documents, `grouped`, `captured` and `rules_of` on tables of directives. A document is at most LIMIT
+bytes, so windows and arrays by document are bounded.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.paths import is_universal, like_pattern, normalize_path, pattern_kind
+from waymark.robots import lexer
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-RULE = "struct<len:int,allow:boolean,pattern:string,like_pattern:string,kind:string>"
 
 
 def delay_seconds(value: Column) -> Column:
@@ -73,30 +74,43 @@ def always(rules: Column) -> Column:
     )
 
 
-def policies(documents: DataFrame, directives: DataFrame, agents: DataFrame, optimal: bool = False, key: str = "robots_id") -> DataFrame:
+def policies(documents: DataFrame, agents: DataFrame, optimal: bool = False, key: str = "robots_id", content: str = "content") -> DataFrame:
     """key, agent, selected, always, rules (null where always is set), crawl_delay, sitemaps of each document and agent.
 
-    With a column `access` in documents, redirected and unavailable documents allow everything, unreachable ones nothing."""
-    groups = grouped(directives, key)
-    selected = selected_agents(groups, agents, documents, key)
-    held = captured(groups, selected, key)
-    rules = rules_of(held, key).groupBy(key, "agent").agg(sorted_rules(F.collect_list(F.struct("len", "allow", "pattern", "like_pattern", "kind"))).alias("_rules"))
-    delays = held.where("kind = 'crawl-delay'").select(key, "agent", "pos", delay_seconds(F.col("value")).alias("_s"))
-    last_bad = F.coalesce(F.max(F.when(F.col("_s").isNull(), F.col("pos"))), F.lit(-1)).alias("_bad")
-    of = delays.groupBy(key, "agent").agg(last_bad, F.collect_list(F.struct("pos", "_s")).alias("_all"))
-    least = F.array_min(F.transform(F.filter("_all", lambda d: d["pos"] > F.col("_bad")), lambda d: d["_s"]))
-    delay = of.select(key, "agent", least.alias("crawl_delay"))
-    maps = directives.where(r"kind = 'sitemap' and value rlike '^[A-Za-z][A-Za-z0-9+.-]*:.'").groupBy(key)
-    maps = maps.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("sitemaps"))
-    rows = selected.join(rules, [key, "agent"], "left").join(delay, [key, "agent"], "left").join(maps, key, "left")
-    found = F.coalesce("_rules", F.array().cast(f"array<{RULE}>"))
-    out = rows.select(key, "agent", "selected", (always(found) if optimal else F.lit(None).cast("boolean")).alias("always"), found.alias("rules"), "crawl_delay", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
-    if "access" in documents.columns:
-        out = out.join(documents.select(key, "access"), key)
-        fixed = F.when(F.col("access").isin("redirect", "unavailable"), True).when(F.col("access") == "unreachable", False)
-        out = out.withColumns({"always": F.when(fixed.isNotNull(), fixed).otherwise(F.col("always")), "selected": F.when(fixed.isNotNull(), F.col("agent")).otherwise(F.col("selected")),
-            "crawl_delay": F.when(fixed.isNull(), F.col("crawl_delay")), "sitemaps": F.when(fixed.isNull(), F.col("sitemaps")).otherwise(F.array().cast("array<string>"))}).drop("access")
-    return out.withColumn("rules", F.when(F.col("always").isNull(), F.col("rules")))
+    With a column `access` in documents, redirected and unavailable documents allow everything, unreachable ones nothing.
+    A document is handled within its row: no shuffle, and streams of documents will do. agents has one column, agent: a
+    handful of names."""
+    access = F.col("access") if "access" in documents.columns else F.lit(None).cast("string")
+    every = F.transform(lexer.lines(F.coalesce(F.col(content), F.lit(b""))), lexer.kind_and_value)
+    rows = documents.select(key, access.alias("_access"), every.alias("_all"))
+    lower = lambda x: F.when(x["kind"] == "user-agent", F.lower(x["value"])).otherwise(x["value"])
+    members = F.filter("_all", lambda x: x["kind"].isin("user-agent", "allow", "disallow", "crawl-delay") & ((x["kind"] != "user-agent") | x["value"].isNotNull()))
+    maps = F.filter("_all", lambda x: (x["kind"] == "sitemap") & x["value"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:."))
+    rows = rows.select(key, "_access", F.transform(members, lambda x: F.struct(x["kind"].alias("kind"), lower(x).alias("value"))).alias("_m"), F.transform(maps, lambda x: x["value"]).alias("sitemaps"))
+    opens = lambda x, i: F.when((x["kind"] == "user-agent") & ((i == 0) | (F.get("_m", i - 1)["kind"] != "user-agent")), i)
+    rows = rows.withColumns({"_starts": F.array_compact(F.transform("_m", opens)), "_names": F.array_distinct(F.transform(F.filter("_m", lambda x: x["kind"] == "user-agent"), lambda x: x["value"]))})
+    rows = rows.withColumn("_groups", F.transform("_starts", lambda s, j: F.struct(s.alias("at"), (F.coalesce(F.get("_starts", j + 1), F.size("_m")) - s).alias("n"))))
+    rows = rows.crossJoin(F.broadcast(agents.select("agent").distinct()))
+    wanted = F.lower(F.regexp_replace("agent", r"(?U)^\s+|\s+$", ""))
+    longest = F.array_max(F.transform(F.filter("_names", lambda a: wanted.startswith(a)), lambda a: F.struct(F.octet_length(a).alias("n"), a.alias("a"))))["a"]
+    rows = rows.withColumn("selected", F.coalesce(longest, F.lit("*")))
+    mine = F.filter("_groups", lambda g: F.exists(F.slice("_m", g["at"] + 1, g["n"]), lambda x: (x["kind"] == "user-agent") & (x["value"] == F.col("selected"))))
+    unassigned = F.slice("_m", F.lit(1), F.when(F.col("selected") == "*", F.coalesce(F.get("_starts", F.lit(0)), F.size("_m"))).otherwise(0))
+    rows = rows.withColumn("_held", F.concat(unassigned, F.flatten(F.transform(mine, lambda g: F.slice("_m", g["at"] + 1, g["n"])))))
+    said = F.filter("_held", lambda x: x["kind"].isin("allow", "disallow") & x["value"].isNotNull())
+    rows = rows.withColumn("_said", F.transform(said, lambda x: F.struct(normalize_path(x["value"]).alias("pattern"), (x["kind"] == "allow").alias("allow"))))
+    made = F.transform("_said", lambda x: F.struct(F.octet_length(x["pattern"]).alias("len"), x["allow"].alias("allow"), x["pattern"].alias("pattern"), like_pattern(x["pattern"]).alias("like_pattern"), pattern_kind(x["pattern"]).alias("kind")))
+    seconds = F.transform(F.filter("_held", lambda x: x["kind"] == "crawl-delay"), lambda x: delay_seconds(x["value"]))
+    least = F.aggregate(seconds, F.lit(None).cast("double"), lambda held, s: F.when(s.isNotNull(), F.least(held, s)))  # one that isn't valid forgets those before
+    rows = rows.withColumns({"_rules": sorted_rules(F.filter(made, lambda r: r["kind"].isNotNull())), "_delay": least})
+    fixed = F.when(F.col("_access").isin("redirect", "unavailable"), True).when(F.col("_access") == "unreachable", False)
+    free = fixed.isNull()
+    one = F.when(~free, fixed).otherwise(always(F.col("_rules")) if optimal else F.lit(None).cast("boolean"))
+    out = rows.select(
+        key, "agent", F.when(free, F.col("selected")).otherwise(F.col("agent")).alias("selected"), one.alias("always"), "_rules",
+        F.when(free, F.col("_delay")).alias("crawl_delay"), F.when(free, F.col("sitemaps")).otherwise(F.array().cast("array<string>")).alias("sitemaps"),
+    )
+    return out.select(key, "agent", "selected", "always", F.when(F.col("always").isNull(), F.col("_rules")).alias("rules"), "crawl_delay", "sitemaps")
 
 
 def rule_count(rules: Column) -> Column:
