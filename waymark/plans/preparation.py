@@ -94,6 +94,36 @@ seen AS (SELECT *, max(lastmod) OVER w AS latest, count(*) OVER w AS n FROM best
 SELECT run_id, row_id FROM seen WHERE n = 0 OR (lastmod IS NOT NULL AND (latest IS NULL OR lastmod > latest))""",
 }
 
+# another way to the same instants: formats tried one after the other, and the SQL engine's own zones
+ORACLES["p1_found"] = r"""
+WITH texts AS (SELECT 'entry' AS record_kind, entry_id AS record_id, host_id, lastmod_text AS t FROM entry_listings UNION ALL SELECT 'index', index_id, host_id, lastmod_text FROM index_listings),
+tidy AS (SELECT record_kind, record_id, tz, day_first, replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '−', '-') AS s FROM texts JOIN hosts USING (host_id) WHERE t IS NOT NULL),
+named AS (SELECT *, regexp_extract(s, '\[([A-Za-z_/]+)\]$', 1) AS bracket, regexp_replace(s, '\[[A-Za-z_/]+\]$', '') AS s1 FROM tidy),
+spoken AS (SELECT *, regexp_extract(s1, ' ([A-Za-z]+/[A-Za-z_/]+)$', 1) AS name, regexp_replace(s1, ' [A-Za-z]+/[A-Za-z_/]+$', '') AS s2 FROM named),
+short AS (SELECT *, CASE WHEN regexp_matches(s2, '\d ?[zZ]$') THEN 'Z' ELSE regexp_extract(s2, '\d ([A-Z]{3,4})( \d{4})?$', 1) END AS abbr,
+  regexp_replace(regexp_replace(s2, '(\d) ?[zZ]$', '\1'), '(\d) [A-Z]{3,4}( \d{4})?$', '\1\2') AS s3 FROM spoken),
+offs AS (SELECT *, regexp_extract(s3, '(?::\d\d|T\d{6}|[.,]\d+) ?([+-]\d\d:?(\d\d)?)$', 1) AS o, regexp_replace(s3, '(:\d\d|T\d{6}|[.,]\d+) ?[+-]\d\d(:?\d\d)?$', '\1') AS s4 FROM short),
+fine AS (SELECT *, regexp_extract(s4, ':\d\d[.,](\d+)$', 1) AS f, regexp_replace(regexp_replace(s4, '(:\d\d)[.,]\d+$', '\1'), '^(\d{4}-\d\d-\d\d)[Tt_]', '\1 ') AS c FROM offs),
+read AS (SELECT *,
+  coalesce(try_strptime(c, '%Y-%m-%d %H:%M:%S'), try_strptime(c, '%Y-%m-%d %H:%M'), CASE WHEN regexp_full_match(c, '\d{8}T\d{6}') THEN try_strptime(c, '%Y%m%dT%H%M%S') END,
+    CASE WHEN regexp_full_match(c, '\d{14}') THEN try_strptime(c, '%Y%m%d%H%M%S') END, try_strptime(c, '%d-%b-%Y %H:%M:%S'), try_strptime(regexp_replace(c, ' +', ' ', 'g'), '%a %b %d %H:%M:%S %Y'),
+    try_strptime(c, '%a, %d %b %Y %H:%M:%S'), try_strptime(c, '%d %b %Y %H:%M:%S'), CASE WHEN regexp_matches(c, '-\d\d \d\d:') AND regexp_matches(c, 'day,') THEN try_strptime(c, '%A, %d-%b-%y %H:%M:%S') END,
+    CASE WHEN regexp_matches(c, '^\d\d\.') THEN try_strptime(c, '%d.%m.%Y %H:%M') END,
+    CASE WHEN regexp_matches(c, '^\d\d/') THEN CASE WHEN day_first THEN coalesce(try_strptime(c, '%d/%m/%Y %H:%M'), try_strptime(upper(c), '%d/%m/%Y %I:%M %p')) ELSE coalesce(try_strptime(c, '%m/%d/%Y %H:%M'), try_strptime(upper(c), '%m/%d/%Y %I:%M %p')) END END) AS clock,
+  coalesce(CASE WHEN regexp_full_match(s, '\d{4}-\d\d-\d\d') THEN try_strptime(s, '%Y-%m-%d') END, CASE WHEN regexp_full_match(s, '\d{4}-\d\d') THEN try_strptime(s || '-01', '%Y-%m-%d') END,
+    CASE WHEN regexp_full_match(s, '\d{4}/\d\d/\d\d') THEN try_strptime(s, '%Y/%m/%d') END, try_strptime(s, '%B %d, %Y'), try_strptime(s, '%d %B %Y'),
+    CASE WHEN regexp_full_match(s, '\d{4}-\d{3}') THEN try_strptime(s, '%Y-%j') END, CASE WHEN regexp_full_match(s, '\d{4}-W\d\d-\d') THEN try_strptime(s, '%G-W%V-%u') END) AS day FROM fine),
+placed AS (SELECT *, coalesce(nullif(bracket, ''), nullif(name, ''), tz) AS zone,
+  CASE WHEN o <> '' THEN (CASE WHEN o LIKE '-%' THEN -1 ELSE 1 END) * (substr(o, 2, 2)::INT * 60 + coalesce(nullif(substr(replace(o, ':', ''), 4, 2), '')::INT, 0))
+    WHEN abbr <> '' THEN CASE abbr WHEN 'Z' THEN 0 WHEN 'UTC' THEN 0 WHEN 'GMT' THEN 0 WHEN 'CET' THEN 60 WHEN 'CEST' THEN 120 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 WHEN 'CST' THEN -360 WHEN 'CDT' THEN -300
+      WHEN 'MST' THEN -420 WHEN 'MDT' THEN -360 WHEN 'PST' THEN -480 WHEN 'PDT' THEN -420 END END AS minutes FROM read),
+seen AS (SELECT *, list_min(list_filter(list_transform([-60, -30, 0, 30, 60], lambda m: timezone(zone, clock) + to_minutes(m::BIGINT)), lambda u: timezone(zone, u) = clock)) AS instant FROM placed),
+result AS (SELECT record_kind, record_id, CASE WHEN regexp_full_match(s, '\d{10}(\.\d+)?') THEN substr(s, 1, 10)::BIGINT * 1000000 + rpad(substr(s, 12, 6), 6, '0')::BIGINT
+  WHEN regexp_full_match(s, '\d{13}') THEN s::BIGINT * 1000 WHEN regexp_full_match(s, '\d{16}') THEN s::BIGINT
+  WHEN day IS NOT NULL THEN epoch_us(day) WHEN minutes IS NOT NULL THEN epoch_us(clock) - minutes::BIGINT * 60000000 + rpad(left(f, 6), 6, '0')::BIGINT
+  WHEN o = '' AND abbr = '' THEN epoch_us(instant) + rpad(left(f, 6), 6, '0')::BIGINT END AS utc_us FROM seen)
+SELECT record_kind, record_id, utc_us FROM result WHERE utc_us IS NOT NULL"""
+
 _CELL = r"""(?:"(?:[^"]|"")*"|[^",]*)"""
 _STRICT = f"{_CELL}(?:,{_CELL})*"
 _LINES = rf"""
