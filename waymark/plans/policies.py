@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.paths import like_pattern, normalize_path, pattern_kind, robots_url, robots_url_error, url_path
 from waymark.operators.line_errors import loaded_lines
 from waymark.plans.preparation import _LINES, table
 from waymark.robots import build, lexer, match, policy
+from waymark.storage import materialise
 
 AGENTS = ["*", "korbot", "Selbot/2.1", "dorbot-images-large", "torfetch", "zed"]
 SAMPLES = [
@@ -36,6 +37,10 @@ def sample_policies(spark: SparkSession, optimal: bool = False) -> DataFrame:
     return policy.policies(samples(spark), agents(spark), optimal)
 
 
+def loaded_policies(spark: SparkSession, sf_dir: str, optimal: bool = False) -> DataFrame:
+    return policy.policies(loaded_documents(spark, sf_dir), agents(spark), optimal)
+
+
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host_id, line_id, robots_id, agent, pattern (normalised), allow of the valid rule lines."""
     rules = loaded_lines(table(spark, sf_dir, "raw_lines"), "rule", keep=("host_id",))
@@ -70,36 +75,97 @@ def robots_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexer.lex(samples(spark))
 
 
+def robots_lex_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexer.lex(loaded_documents(spark, sf_dir))
+
+
 def robots_lex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexer over texts that weren't meant for it: how many lines of each kind."""
     texts = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return lexer.lex(texts, "doc_id").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = samples(spark)
+def _groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
     groups = policy.grouped(lexer.lex(documents))
     held = policy.captured(groups, policy.selected_agents(groups, agents(spark), documents))
     return policy.rules_of(held).join(held.select("robots_id", "agent", "pos", "selected"), ["robots_id", "agent", "pos"]).select("robots_id", "agent", "selected", "pos", "pattern", "allow")
 
 
+def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, samples(spark))
+
+
+def robots_groups_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, materialise(loaded_documents(spark, sf_dir), "robots"))
+
+
 def robots_text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = located(spark, sf_dir).withColumn("robots_id", F.pmod("entry_id", F.lit(len(SAMPLES))) + 1)
     return match.verdicts(sample_policies(spark), urls).select("entry_id", "agent", "verdict", "allowed")
 
 
+def robots_text_verdict_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each URL by one of the documents of its host: of n in order, number entry_id modulo n.
+
+    A document has few rules, so they travel with its policies; match.verdicts would shuffle each URL once an agent."""
+    documents = materialise(loaded_documents(spark, sf_dir), "robots")
+    keys = documents.select("robots_id", F.substring_index("robots_id", "/", 1).cast("long").alias("host_id"))
+    of = Window.partitionBy("host_id")
+    numbered = keys.select("*", (F.row_number().over(of.orderBy("robots_id")) - 1).cast("long").alias("_k"), F.count(F.lit(1)).over(of).alias("_n"))
+    numbered = materialise(numbered, "numbered")
+    urls = located(spark, sf_dir).join(numbered.select("host_id", "_n").distinct(), "host_id").withColumn("_k", F.pmod("entry_id", "_n")).drop("_n")
+    urls = urls.join(numbered.drop("_n"), ["host_id", "_k"]).select("entry_id", "robots_id", url_path(F.col("loc")).alias("path"))
+    rows = urls.join(policy.policies(documents, agents(spark)).select("robots_id", "agent", "always", "rules"), "robots_id")
+    verdict = match.try_allowed(F.col("always"), F.col("rules"), F.col("path"))
+    return rows.select("entry_id", "agent", verdict.alias("verdict")).withColumn("allowed", F.coalesce("verdict", F.lit(True)))
+
+
+def _delay(policies: DataFrame) -> DataFrame:
+    return policies.where("crawl_delay is not null").select("robots_id", "agent", "crawl_delay")
+
+
 def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_policies(spark).where("crawl_delay is not null").select("robots_id", "agent", "crawl_delay")
+    return _delay(sample_policies(spark))
+
+
+def robots_delay_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delay(loaded_policies(spark, sf_dir))
+
+
+def _sitemaps(policies: DataFrame) -> DataFrame:
+    return policies.where("agent = '*'").select("robots_id", F.posexplode("sitemaps").alias("pos", "sitemap"))
 
 
 def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_policies(spark).where("agent = '*'").select("robots_id", F.posexplode("sitemaps").alias("pos", "sitemap"))
+    return _sitemaps(sample_policies(spark))
 
 
-def robots_policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots_id (host_id/part) and content: the sitemaps of each host, in as many documents as keep within the lexer's limit."""
+    maps = table(spark, sf_dir, "index_listings").where(r"not loc rlike '[#\r\n]|^\\s|\\s$|^$'").select("host_id", "loc").distinct()
+    so_far = F.sum(F.octet_length("loc") + 10).over(Window.partitionBy("host_id").orderBy("loc").rowsBetween(Window.unboundedPreceding, 0))
+    robots_id = F.concat_ws("/", F.col("host_id").cast("string"), F.floor(so_far / (lexer.LIMIT // 2)).cast("string"))
+    maps = materialise(maps.select(robots_id.alias("robots_id"), F.col("loc").alias("sitemap")), "maps")
+    groups = maps.select("robots_id", F.lit(0).alias("pos")).distinct().withColumn("text", build.group_text(F.lit(None), F.lit(None), F.lit(None), F.lit(None).cast("string")))
+    return build.robots_text(groups, "robots_id", "pos", "text", maps).select("robots_id", F.encode("txt", "UTF-8").alias("content"))
+
+
+def robots_sitemaps_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sitemaps(policy.policies(sitemap_documents(spark, sf_dir), agents(spark)))
+
+
+def _policy_stats(policies: DataFrame) -> DataFrame:
     """n_rules is -1 where one verdict holds for all."""
     n = F.coalesce(policy.rule_count(F.col("rules")), F.lit(-1))
-    return sample_policies(spark, True).select("robots_id", "agent", "selected", "always", n.alias("n_rules"), F.when(n >= 0, n == 0).alias("is_empty"))
+    return policies.select("robots_id", "agent", "selected", "always", n.alias("n_rules"), F.when(n >= 0, n == 0).alias("is_empty"))
+
+
+def robots_policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_stats(sample_policies(spark, True))
+
+
+def robots_policy_stats_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_stats(loaded_policies(spark, sf_dir, True))
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +189,12 @@ def robots_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(spark, sf_dir).select("entry_id", robots_url(F.col("loc")).alias("robots_url"), robots_url_error(F.col("loc")).alias("error"))
 
 
+_UNFIT_AGENT = r"agent rlike '[#\r\n]|^\\s|\\s$|^$'"
+
+
 def _clean_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""Rules whose agent and pattern can stand in a robots document as they are."""
-    rules = host_rules(spark, sf_dir).where(r"not agent rlike '[#\r\n]|^\\s|\\s$|^$' and not pattern rlike '[#\r\n]'")
+    rules = host_rules(spark, sf_dir).where(rf"not {_UNFIT_AGENT} and not pattern rlike '[#\r\n]'")
     return rules.select(F.concat(F.col("host_id").cast("string"), F.lit("/"), "robots_id").alias("robots_id"), F.lower("agent").alias("agent"), "pattern", "allow").distinct()
 
 
@@ -139,6 +208,20 @@ def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.robots_text(groups, "robots_id", "agent", "text", header="made from rules", footer="# end")
 
 
+def loaded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots_id (host_id/robots_id) and content: a document of all loaded rule and delay lines that can stand in one.
+
+    An agent's group holds each of its delays; an empty one stands first, so that it doesn't undo a number."""
+    rules = _clean_rules(spark, sf_dir).select("robots_id", "agent", F.struct("allow", "pattern").alias("_rule"), F.lit(None).cast("string").alias("_delay"))
+    delays = loaded_lines(table(spark, sf_dir, "raw_lines"), "delay", keep=("host_id",)).where(f"not {_UNFIT_AGENT}")
+    delays = delays.select(F.concat(F.col("host_id").cast("string"), F.lit("/"), "robots_id").alias("robots_id"), F.lower("agent").alias("agent"), F.lit(None).cast("struct<allow:boolean,pattern:string>").alias("_rule"), F.col("crawl_delay").alias("_delay"))
+    held = rules.unionByName(delays).groupBy("robots_id", "agent").agg(F.array_sort(F.collect_set("_rule")).alias("_rules"), F.array_sort(F.collect_set("_delay")).alias("_delays"))
+    patterns = lambda allow: F.transform(F.filter("_rules", lambda r: r["allow"] == allow), lambda r: r["pattern"])
+    delay = F.when(F.size("_delays") > 0, F.array_join("_delays", "\nCrawl-Delay: "))
+    groups = held.select("robots_id", "agent", build.group_text(F.array("agent"), patterns(True), patterns(False), delay, F.lit("one group")).alias("text"))
+    return build.robots_text(groups, "robots_id", "agent", "text", header="made from rules", footer="# end").select("robots_id", F.encode("txt", "UTF-8").alias("content"))
+
+
 def robots_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir)
 
@@ -149,8 +232,7 @@ def robots_build_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("robots_id", "agent", "selected", F.size("rules").alias("n_rules"))
 
 
-def robots_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sample_policies(spark, True)
+def _cache_roundtrip(p: DataFrame) -> DataFrame:
     text = policy.to_json(F.col("selected"), F.col("always"), F.col("rules"), F.col("crawl_delay"), F.col("sitemaps"))
     back = p.select("robots_id", "agent", policy.from_json(text).alias("_p"))
     many = lambda allow: F.size(F.filter("_p.rules", lambda r: r["allow"] == allow))
@@ -159,12 +241,21 @@ def robots_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_p.crawl_delay", F.size("_p.sitemaps").alias("n_sitemaps"), "_p.error")
 
 
+def robots_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cache_roundtrip(sample_policies(spark, True))
+
+
+def robots_cache_roundtrip_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cache_roundtrip(loaded_policies(spark, sf_dir, True))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         robots_verdict, robots_try_verdict, robots_first_rule, robots_lex, robots_lex_documents, robots_groups, robots_text_verdict, robots_delay,
         robots_sitemaps, robots_policy_stats, robots_access, robots_wildcard_kind, path_normalize, robots_location, robots_build,
-        robots_build_parse, robots_cache_roundtrip,
+        robots_build_parse, robots_cache_roundtrip, robots_lex_loaded, robots_groups_loaded, robots_text_verdict_loaded, robots_delay_loaded, robots_sitemaps_loaded,
+        robots_policy_stats_loaded, robots_cache_roundtrip_loaded,
     )
 }
 
@@ -267,3 +358,22 @@ SELECT f.robots_id, f.agent, coalesce(f.hit, '*') AS selected, (SELECT count(*)
     "robots_cache_roundtrip": _POLICY + """SELECT s.robots_id, s.agent, s.selected, s.always, CASE WHEN s.always IS NULL THEN s.yes ELSE -1 END AS n_allow, CASE WHEN s.always IS NULL THEN s.n - s.yes ELSE -1 END AS n_disallow,
   d.crawl_delay, (SELECT count(*) FROM maps m WHERE m.robots_id = s.robots_id) AS n_sitemaps, NULL::VARCHAR AS error FROM stats s LEFT JOIN delays d ON d.robots_id = s.robots_id AND d.agent = s.agent""",
 }
+
+# the same over the documents that are made from the loaded lines
+_LOADED = rf"""samples AS ({_CLEAN}, waits AS (SELECT DISTINCT host_id::VARCHAR || '/' || j.f[1] AS robots_id, lower(j.f[2]) AS agent, j.f[3] AS delay
+  FROM judged j JOIN raw_lines USING (line_id) WHERE reason IS NULL AND j.feed = 'delay' AND NOT regexp_matches(j.f[2], '[#\r\n]|^\s|\s$|^$')),
+said AS (SELECT robots_id, agent, string_agg('Disallow: ' || pattern, chr(10) ORDER BY pattern) FILTER (NOT allow) AS no, string_agg('Allow: ' || pattern, chr(10) ORDER BY pattern) FILTER (allow) AS yes FROM clean GROUP BY ALL),
+waited AS (SELECT robots_id, agent, string_agg('Crawl-Delay: ' || delay, chr(10) ORDER BY delay) AS d FROM waits GROUP BY ALL),
+g AS (SELECT robots_id, agent, concat_ws(chr(10), '# one group', 'User-Agent: ' || agent, d, no, CASE WHEN no IS NULL AND yes IS NULL THEN 'Allow: *' ELSE yes END) AS t FROM said FULL JOIN waited USING (robots_id, agent))
+SELECT robots_id, '# made from rules' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY agent) || chr(10) || chr(10) || '# end' AS txt FROM g GROUP BY robots_id)"""
+for _name in ("robots_lex", "robots_groups", "robots_delay", "robots_policy_stats", "robots_cache_roundtrip"):
+    ORACLES[f"{_name}_loaded"] = ORACLES[_name].replace(_SAMPLES, _LOADED, 1)
+_NUMBERED = f"""paths AS (SELECT e.entry_id, n.robots_id, {norm_sql(path_sql("e.loc"))} AS path FROM entry_listings e JOIN (SELECT robots_id, string_split(robots_id, '/')[1]::BIGINT AS host_id,
+  row_number() OVER (PARTITION BY string_split(robots_id, '/')[1] ORDER BY robots_id) - 1 AS k, count(*) OVER (PARTITION BY string_split(robots_id, '/')[1]) AS n FROM samples) n ON n.host_id = e.host_id AND e.entry_id % n.n = n.k WHERE e.loc IS NOT NULL),
+hit AS"""
+_text_verdict = ORACLES["robots_text_verdict"].replace(_SAMPLES, _LOADED, 1)
+ORACLES["robots_text_verdict_loaded"] = _text_verdict[: _text_verdict.index("paths AS (")] + _NUMBERED + _text_verdict.split("hit AS", 1)[1]
+_MAPPED = r"""samples AS (WITH m AS (SELECT *, floor(sum(strlen(loc) + 10) OVER (PARTITION BY host_id ORDER BY loc) / 256000)::BIGINT AS part
+  FROM (SELECT DISTINCT host_id, loc FROM index_listings WHERE NOT regexp_matches(loc, '[#\r\n]|^\s|\s$|^$')))
+SELECT host_id::VARCHAR || '/' || part AS robots_id, 'User-Agent: *' || chr(10) || 'Allow: *' || chr(10) || chr(10) || string_agg('Sitemap: ' || loc, chr(10) ORDER BY loc) AS txt FROM m GROUP BY ALL)"""
+ORACLES["robots_sitemaps_loaded"] = ORACLES["robots_sitemaps"].replace(_SAMPLES, _MAPPED, 1)
