@@ -66,3 +66,14 @@ def test_tables(spark):
     assert rows(loaded_lines(df, "rule")) == [(7, "1", "k", "a,b", "true")]
     assert rows(loaded_lines(df, "entry").select("line_id", "changefreq")) == [(3, "")]
     assert rows(failed_lines(df.where("false"))) == [] and rows(loaded_lines(df.where("false"), "delay")) == []
+
+
+def test_reasons_are_those_of_the_edits(monkeypatch):
+    seen = []
+    monkeypatch.setattr("waymark.operators.line_errors.cheapest_parse", lambda line, columns: seen.append(line) or cheapest_parse(line, columns))
+    for line in ("1,*", "1,*,5,6,7", '1,"*,5', '1,a"b', ""):
+        cost, gap, operations = cheapest_parse(line, 3)
+        assert read_line("delay", line) == ("quoting" if cost else "column_count", "; ".join(operations), None)
+        assert cost or gap
+    assert len(seen) == 5 and read_line("delay", "1,*,5")[0] is None and len(seen) == 5
+    assert read_line("other", "a,b") == ("column_count", "delete 2 delimiters", None)

@@ -132,11 +132,9 @@ def read_line(feed: str | None, line: str | None, feeds: dict = FEEDS) -> tuple[
         return "column_count", "no line", None
     text = line.rstrip("\r\n")
     fields = free_parse(text)
-    if fields is None:
-        return "quoting", "; ".join(cheapest_parse(text, len(columns))[2]), None
-    if len(fields) != len(columns):
-        gap = len(fields) - len(columns)
-        return "column_count", f"{'delete' if gap > 0 else 'insert'} {abs(gap)} delimiter{'s' * (abs(gap) > 1)}", None
+    if fields is None or len(fields) != len(columns):
+        quotes, _, operations = cheapest_parse(text, len(columns))
+        return "quoting" if quotes else "column_count", "; ".join(operations), None
     for name, check in checks.items():
         if not check(fields[columns.index(name)]):
             return "invalid_value", name, None
