@@ -102,3 +102,15 @@ def test_empty_tables(spark):
     assert j.process(empty, spark.createDataFrame([], RUNS)) == [] and found(j) == []
     j.process(empty, spark.createDataFrame([(1, at(1), "succeeded"), (2, at(1), "succeeded")], RUNS))
     assert found(j) == []
+
+
+def test_runs_that_are_no_longer_successful_leave_nothing(spark):
+    feed, runs = make(7)
+    runs = [(i, s, "succeeded") for i, s, _ in runs]
+    j = job(spark)
+    rows_of = spark.createDataFrame(feed, FEED)
+    j.process(rows_of, spark.createDataFrame(runs, RUNS))
+    for failed in ({4}, {4, 9}, set(range(1, 10)), {2}):
+        now = [(i, s, "failed" if i in failed else t) for i, s, t in runs]
+        j.process(rows_of, spark.createDataFrame(now, RUNS))
+        assert found(j) == brute(feed, now)

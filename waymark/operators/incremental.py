@@ -99,14 +99,15 @@ class Incremental:
         if table is None:
             return {}
         last = table.agg(F.max("call")).first()[0]
-        return {r.run_id: tuple(r[1:6]) for r in table.where(F.col("call") == last).collect()}
+        return {r.run_id: tuple(r[1:6]) for r in table.where(F.col("call") == last).collect() if r.run_id is not None}
 
     def cases(self) -> DataFrame:
         """run_id, row_id, loc, lastmod: what each run processed, of the runs that the last finished call knew."""
         table = self._read("cases", _CASES)
         if table is None:
             return self.spark.createDataFrame([], _CASES)
-        return table.where("row_id is not null").select("run_id", "row_id", "loc", "lastmod")
+        # partitions of runs that are no longer successful, or of a call that died, may still lie there
+        return table.where("row_id is not null").where(F.col("run_id").isin(list(self._prints()))).select("run_id", "row_id", "loc", "lastmod")
 
     def process(self, feed: DataFrame, runs: DataFrame) -> list[int]:
         """Bring `cases` up to date with the feed and the successful runs; the run_ids that were computed.
@@ -114,6 +115,8 @@ class Incremental:
         Nothing is done for partitions whose fingerprints are those of the last finished call."""
         starts = run_starts(runs)
         if not starts:
+            if self._prints():
+                self._write_prints({})
             return []
         rows = feed.select("row_id", "loc", "lastmod", "arrived_at")
         found = with_run(rows, starts).groupBy("run_id").agg(*row_fingerprint([F.col(c) for c in rows.columns]))
@@ -135,10 +138,14 @@ class Incremental:
             marks = self.spark.createDataFrame([(i, None, None, None) for i, _ in todo], _MARKS)
             out = cases.select("run_id", "row_id", "loc", "lastmod").unionByName(marks).hint("rebalance", "run_id")
             self._write(out, "cases", "run_id")
+        self._write_prints(new)
+        return [i for i, _ in todo]
+
+    def _write_prints(self, new: dict[int, tuple]) -> None:
+        """A call without runs leaves a row without run_id."""
         call = int(self.spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0])
-        prints = [(i, *v, call) for i, v in new.items()]
+        prints = [(i, *v, call) for i, v in new.items()] or [(*[None] * 6, call)]
         self._write(self.spark.createDataFrame(prints, "run_id int, us long, rows long, hash0 long, hash1 long, hash2 long, call long").coalesce(1), "prints", "call")
-        return [i for i, _ in todo]
 
     def _write(self, df: DataFrame, name: str, by: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.folder}/{name}")
