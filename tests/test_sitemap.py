@@ -111,3 +111,10 @@ def test_files_and_streams(spark, tmp_path):
     assert [r["loc"] for r in spark.table("e").collect()] == ["https://a.a/"]
     write_documents(spark.createDataFrame([("h", "x\ny")], "name string, content string"), str(tmp_path / "out"))
     assert next((tmp_path / "out/name=h").glob("*.txt")).read_text() == "x\ny\n"
+
+
+def test_no_file_is_over_its_limits(spark):
+    data = [(1, f"https://a.a/{i:03d}" + "x" * (500 if i < 40 else 0)) for i in range(400)]  # large records, then small ones
+    df = spark.createDataFrame(data, "host_id int, loc string")
+    files = build.sharded(df, "host_id", F.octet_length("loc"), 50, 2_000).groupBy("host_id", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("loc")).alias("b"))
+    assert files.where("n > 50 or b > 2000").count() == 0 and files.agg(F.sum("n")).first()[0] == 400

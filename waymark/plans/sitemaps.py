@@ -99,7 +99,7 @@ def sitemap_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small limits, to see them hold: of each host the records and bytes, and whether every file is within both."""
     rows = build.sharded(entries(spark, sf_dir).select("host_id", "loc"), "host_id", F.octet_length("loc") + 1, 100, 4_000)
     files = rows.groupBy("host_id", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("loc") + 1).alias("b"))
-    within = F.bool_and((F.col("n") <= 100) & (F.col("b") <= 8_000)).alias("within")
+    within = F.bool_and((F.col("n") <= 100) & (F.col("b") <= 4_000)).alias("within")
     return files.groupBy("host_id").agg(F.sum("n").alias("records"), F.sum("b").alias("bytes"), within)
 
 

@@ -34,16 +34,20 @@ def index_xml() -> Column:
 
 
 def sharded(records: DataFrame, key: str, size: Column, record_limit: int = RECORD_LIMIT, byte_limit: int = BYTE_LIMIT) -> DataFrame:
-    """records with shard (text) and its number of the record in it (at), at most record_limit and byte_limit of a size each."""
-    counts = records.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
+    """records with shard (text) and its number of the record in it (at), at most record_limit and byte_limit of a size each.
+
+    A file takes the records that end within a stretch that is shorter than byte_limit by the largest record, so that one
+    that begins before the stretch fits too. A record over byte_limit fits in no file."""
+    largest = F.max(F.when(size <= byte_limit, size))
+    counts = records.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"), (byte_limit + 1 - F.coalesce(largest, F.lit(1))).alias("_stretch"))
     parts = F.greatest(F.ceil(F.col("_n") / (0.8 * record_limit)), F.ceil(F.col("_bytes") / (0.8 * byte_limit)), F.lit(1))
-    rows = records.join(counts.select(key, parts.alias("_parts")), key).withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("loc"), "_parts")).otherwise(0))
+    rows = records.join(counts.select(key, parts.alias("_parts"), "_stretch"), key).withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("loc"), "_parts")).otherwise(0))
     order = Window.partitionBy(key, "_part").orderBy("loc", *[F.col(c) for c in ("lastmod", "priority", "changefreq") if c in records.columns])
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     number = F.row_number().over(order) - 1
     rows = rows.withColumns({"_at": number, "_sum": F.sum(size).over(so_far)})
-    over = F.greatest(F.floor(F.col("_at") / record_limit), F.floor((F.col("_sum") - 1) / byte_limit))
-    return rows.withColumn("shard", F.concat_ws("-", "_part", over.cast("string"))).withColumnRenamed("_at", "at").drop("_parts", "_part", "_sum")
+    over = F.floor(F.col("_at") / record_limit) + F.floor((F.col("_sum") - 1) / F.col("_stretch"))  # a new file where either rises
+    return rows.withColumn("shard", F.concat_ws("-", "_part", over.cast("string"))).withColumnRenamed("_at", "at").drop("_parts", "_part", "_sum", "_stretch")
 
 
 def _rendered(rows: DataFrame, key: str) -> DataFrame:
