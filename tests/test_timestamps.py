@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from waymark.operators.timestamps import MAX_TEXT, parser_of, with_utc_micros, zone_table
+from waymark.operators.timestamps import MAX_TEXT, ZoneTable, parser_of, with_utc_micros, zone_table
 
 US = timedelta(microseconds=1)
 
@@ -96,3 +96,13 @@ def test_zone_table_against_zoneinfo(name):
 
 def test_masks_are_parsed_once_and_bounded():
     assert parser_of("9999-99-99")[0] == "ymd" and parser_of("9" * (MAX_TEXT + 1)) is None and zone_table().version
+
+
+def test_years_beyond_the_table_follow_the_rule():
+    zones = ZoneTable.build()
+    for name in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Gaza", "Africa/Casablanca", "Asia/Tokyo"):
+        clocks = [datetime(y, m, d, 12) for y in (2119, 2125, 2128, 2129, 2130, 2300, 2399, 2400, 2500, 9998) for m in range(1, 13) for d in (1, 28)]
+        local = np.array([(c - datetime(1970, 1, 1)) // timedelta(seconds=1) for c in clocks], np.int64)
+        utc, known = zones.to_utc(name, local)
+        want = [round((c.replace(tzinfo=ZoneInfo(name)).astimezone(timezone.utc).replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()) for c in clocks]
+        assert known.all() and utc.tolist() == want, name

@@ -95,9 +95,13 @@ def mask_of(text: Column) -> Column:
 class ZoneTable:
     """Transitions of every zone up to LAST: UTC seconds at which an offset (seconds) begins to hold.
 
+    Rules depend only on a year's first weekday and length: later years are read as their like in the last 28 years of the
+    table before 2129, in which each kind of year occurs (and the dates that some zones list one by one are over).
+
     About 600 zones with at most a few hundred transitions each: some megabytes, whatever the size of the data."""
 
-    LAST = 2120
+    LAST = 2130
+    _LIKE = np.arange(2101 - 1970, 2129 - 1970).astype("datetime64[Y]")
 
     def __init__(self, version: str, zones: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.version, self.zones = version, zones
@@ -117,6 +121,8 @@ class ZoneTable:
         if found is None:
             return local, np.zeros(len(local), bool)
         starts, offsets = found
+        shift = self._shift(local)
+        local = local - shift
         ends = np.append(starts[1:], np.iinfo(np.int64).max)
         at = np.searchsorted(starts, local, "right") - 1
         best, known = np.full(len(local), np.iinfo(np.int64).max), np.zeros(len(local), bool)
@@ -125,7 +131,21 @@ class ZoneTable:
             utc = local - offsets[k]
             good = (utc >= starts[k]) & (utc < ends[k])
             best, known = np.where(good, np.minimum(best, utc), best), known | good
-        return best, known
+        return np.where(known, best + np.where(known, shift, 0), best), known
+
+    @classmethod
+    def _shift(cls, local: np.ndarray) -> np.ndarray:
+        """Seconds from the like of each clock time's year to that year: 0 up to 2128."""
+        out = np.zeros(len(local), np.int64)
+        late = local >= (datetime(2129, 1, 1) - datetime(1970, 1, 1)).days * 86400
+        if late.any():
+            years = local[late].astype("datetime64[s]").astype("datetime64[Y]")
+            day = lambda y: y.astype("datetime64[D]").astype(np.int64)
+            sort = lambda y: day(y) % 7 * 2 + (day(y + 1) - day(y) == 366)
+            like = np.zeros(14, np.int64)
+            like[sort(cls._LIKE)] = day(cls._LIKE)
+            out[late] = (day(years) - like[sort(years)]) * 86400
+        return out
 
 
 def _zone_version() -> str:
