@@ -118,3 +118,11 @@ def test_no_file_is_over_its_limits(spark):
     df = spark.createDataFrame(data, "host_id int, loc string")
     files = build.sharded(df, "host_id", F.octet_length("loc"), 50, 2_000).groupBy("host_id", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("loc")).alias("b"))
     assert files.where("n > 50 or b > 2000").count() == 0 and files.agg(F.sum("n")).first()[0] == 400
+
+
+def test_a_long_comment_before_the_root(spark):
+    long = "<!-- " + "x <urlset> " * 10_000 + "-->"
+    body = "<url><loc>https://a.a/1</loc></url></urlset>"
+    docs = doc(spark, long + HEAD + body, "<!-- c -->\n" * 9_000 + HEAD + body, "a <!-- b --> <urlset>", long)
+    assert [r[1] for r in rows(docs.select("url", parse.kind(F.col("content"))))] == ["urlset", "urlset", "plain", "plain"]
+    assert parse.xml_records(docs).count() == 2

@@ -26,7 +26,8 @@ _ENTITY = re.compile(r"&(?:#[0-9]+|#x[0-9a-fA-F]+|amp|lt|gt|quot|apos);")
 def kind(content: Column) -> Column:
     """urlset, sitemapindex, plain, or null for a document without text."""
     text = content.cast("string")
-    root = F.lower(F.regexp_extract(F.regexp_replace(F.substring(text, 1, 65_536), r"(?s)<!--.*?-->|<\?.*?\?>|<![^>]*>", ""), r"^[\s\x{FEFF}]*<([A-Za-z:]+)", 1))
+    leading = r"(?s)\G(?:[\s\x{FEFF}]++|<!--.*?-->|<\?.*?\?>|<![^>]*>)"  # one after the other from the beginning, however long
+    root = F.lower(F.regexp_extract(F.regexp_replace(F.substring(text, 1, BYTE_LIMIT), leading, ""), r"^<([A-Za-z:]+)", 1))
     return F.when(root.isin("urlset", "sitemapindex"), root).when(F.trim(text) != "", F.when(root == "", "plain"))
 
 
