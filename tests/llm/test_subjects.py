@@ -62,3 +62,9 @@ def test_posteriors_learn_which_function_to_trust():
     table = subjects.posteriors(free, {code(4, 2, 1, 1): 90, code(3, 2, 1, 1): 9}, {code(0, 0, 1, 1): 800, code(1, 1, 1, 1): 90})
     assert table[code(4, 2, 1, 1)] > 0.9 and table[code(1, 1, 1, 1)] < 0.1 and table[code(0, 0, 1, 1)] < 0.1
     assert subjects.posteriors({}, {}, {}) == {}
+
+
+def test_long_and_deep_interruptions_are_cut_out():
+    said = [["we", "tax"], ["we", "spend"]]
+    assert subjects.sentences("We tax. (" + "Fish is cheap. " * 60 + ") We spend.") == said
+    assert subjects.sentences("We tax. (a [b (c (d) e) f] g) We spend.") == said

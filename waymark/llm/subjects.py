@@ -47,7 +47,8 @@ _BINS = (6, 4, 3, 3)  # votes of lexicon, address, section, source
 _SILENT = (-1, 0, 1, 1)  # the vote of each that is none
 HELD_OUT = 10  # one of so many labelled documents
 
-_ASIDE = re.compile(r"\([^()]{0,400}\)|\[[^\[\]]{0,400}\]|\bAn? Hon\. Members?: [^.!?\n]*[.!?]?")
+#: An interruption in brackets: of any length within a paragraph, of at most 400 characters beyond it.
+_ASIDE = re.compile(r"\((?:[^()\n]*|[^()]{0,400})\)|\[(?:[^\[\]\n]*|[^\[\]]{0,400})\]|\bAn? Hon\. Members?: [^.!?\n]*[.!?]?")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 _ENDS = re.compile(r"(?<=[.!?])[\"'”’»]*\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -62,8 +63,9 @@ _ADDRESS = frozenset(
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of the speaker, in lower case."""
     text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    for _ in range(2):  # brackets within brackets
-        text = _ASIDE.sub(" ", text)
+    n = 1
+    while n:  # brackets within brackets
+        text, n = _ASIDE.subn(" ", text)
     return [w for s in _ENDS.split(text) if (w := _WORD.findall(s.lower()))]
 
 
