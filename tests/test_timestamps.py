@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from waymark.operators.timestamps import MAX_TEXT, ZoneTable, parser_of, with_utc_micros, zone_table
+from waymark.operators.timestamps import ZoneTable, parser_of, with_utc_micros, zone_source, zone_table
 
 US = timedelta(microseconds=1)
 
@@ -30,6 +30,9 @@ CASES = [
     ("03-NOV-2017 23:24:34", "UTC", True, utc(2017, 11, 3, 23, 24, 34)),
     ("20210225064359", "Asia/Kolkata", True, utc(2021, 2, 25, 1, 13, 59)),
     ("20241117T052814+0900", "UTC", True, utc(2024, 11, 16, 20, 28, 14)),
+    ("2024-01-01T00:00:00." + "0" * 80 + "Z", "UTC", True, utc(2024, 1, 1)),
+    ("2024-01-01T00:00:00.123456" + "7" * 100_000 + "+01:00", "UTC", True, utc(2023, 12, 31, 23, us=123456)),
+    ("x" * 100_000, "UTC", True, None),
     ("1633335724.444", "Asia/Tokyo", True, 1633335724444000),
     ("1633335724", "Asia/Tokyo", True, 1633335724000000),
     ("1623545985844", "Asia/Tokyo", True, 1623545985844000),
@@ -95,7 +98,7 @@ def test_zone_table_against_zoneinfo(name):
 
 
 def test_masks_are_parsed_once_and_bounded():
-    assert parser_of("9999-99-99")[0] == "ymd" and parser_of("9" * (MAX_TEXT + 1)) is None and zone_table().version
+    assert parser_of("9999-99-99")[0] == "ymd" and parser_of("9" * 1000) is None
 
 
 def test_years_beyond_the_table_follow_the_rule():
@@ -106,3 +109,12 @@ def test_years_beyond_the_table_follow_the_rule():
         utc, known = zones.to_utc(name, local)
         want = [round((c.replace(tzinfo=ZoneInfo(name)).astimezone(timezone.utc).replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()) for c in clocks]
         assert known.all() and utc.tolist() == want, name
+
+
+def test_the_zone_table_names_the_release_it_was_read_from(spark):
+    version, names, read = zone_source()
+    assert zone_table().version == version and set(names) == set(zone_table().zones) and read("Europe/Berlin")[:4] == b"TZif"
+    df = spark.createDataFrame([("2024-07-01 12:00", "X", True)], "t string, z string, f boolean")
+    old = ZoneTable("some release", {"X": (np.array([-(1 << 60)]), np.array([3600]))})
+    got = with_utc_micros(df, "t", "z", "f", table=old)
+    assert got.schema["utc_us"].metadata == {"zone_data": "some release"} and got.first().utc_us == utc(2024, 7, 1, 11)

@@ -8,18 +8,20 @@ version of its zone data and ships to all executors, so that no two executors ca
 
 Results for unusual input: null, empty, relative or unknown text gives null; so do dates and times that don't exist,
 clock times that a zone skips, unknown zone names, a missing zone where the text needs one, and a missing day order
-where the text needs one. A clock time that occurs twice is the earlier instant. Texts longer than MAX_TEXT (after
-outer white space is cut) can't be any of the notations and give null.
+where the text needs one. A clock time that occurs twice is the earlier instant. Texts may be of any length: fractions
+are cut to microseconds before masks are made, and no other part of a notation can be long.
 """
 
 from __future__ import annotations
 
 import functools
 import importlib.resources
+import io
 import os
 import re
 import struct
 import zoneinfo
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -27,8 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TEXT = 96
-_KEPT_MASKS = 20_000
+_KEPT_MASKS, _KEPT_LENGTH = 20_000, 200  # masks that a worker remembers, and how long one of them may be
 
 # Usual offsets of zone abbreviations, in minutes.
 ABBREVIATIONS = {
@@ -58,9 +59,9 @@ GRAMMAR = {
         "ymd_slash": rf"(?P<Y>9999)/(?P<m>99?)/(?P<d>99?)(?: {_CLOCK}{_HALF}{_ZONE})?",
         "slash": rf"(?P<p>99?)/(?P<q>99?)/(?P<Y>9999|99)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
         "dot": rf"(?P<d>99?)\.(?P<m>99?)\.(?P<Y>9999|99)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
-        "day_month": rf"(?:(?P<w>AAA+),? )?(?P<d>99?)(?P<j>[ \-])(?P<b>AAA+)\.?(?P<k>[ \-])(?P<Y>9999|99)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
-        "month_day": rf"(?:(?P<w>AAA+),? )?(?P<b>AAA+)\.? (?P<d>99?),? (?P<Y>9999)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
-        "ctime": rf"(?P<w>AAA+),? (?P<b>AAA+)  ?(?P<d>99?) {_CLOCK}(?:{_OFF}|{_NAME})? (?P<Y>9999)",
+        "day_month": rf"(?:(?P<w>A{{3,9}}),? )?(?P<d>99?)(?P<j>[ \-])(?P<b>A{{3,9}})\.?(?P<k>[ \-])(?P<Y>9999|99)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
+        "month_day": rf"(?:(?P<w>A{{3,9}}),? )?(?P<b>A{{3,9}})\.? (?P<d>99?),? (?P<Y>9999)(?:,? {_CLOCK}{_HALF}{_ZONE})?",
+        "ctime": rf"(?P<w>A{{3,9}}),? (?P<b>A{{3,9}})  ?(?P<d>99?) {_CLOCK}(?:{_OFF}|{_NAME})? (?P<Y>9999)",
         "month": r"(?P<Y>9999)-(?P<m>99)",
         "year": r"(?P<Y>9999)",
         "ordinal": rf"(?P<Y>9999)-(?P<o>999)(?:(?P<t>[A _]){_CLOCK}{_ZONE})?",
@@ -73,17 +74,27 @@ GRAMMAR = {
 }
 
 
-@functools.lru_cache(_KEPT_MASKS)
 def parser_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """The notation and field positions that a mask stands for; None if no notation has it."""
-    if len(mask) > MAX_TEXT:
-        return None
+    return (_kept_parser if len(mask) <= _KEPT_LENGTH else _parser)(mask)
+
+
+def _parser(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     for name, expression in GRAMMAR.items():
         if match := expression.fullmatch(mask):
             return name, {k: match.span(k) for k, v in match.groupdict().items() if v is not None}
     return None
 
 
+_kept_parser = functools.lru_cache(_KEPT_MASKS)(_parser)
+
+
+def tidied(text: Column) -> Column:
+    """Without outer white space, and without digits beyond the sixth of a fraction: after a point or comma no notation has
+    more than four digits otherwise."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "([.,][0-9]{6})[0-9]+", "$1")
+
+
 def mask_of(text: Column) -> Column:
     """The shape mask, made inside the JVM. Letters and white space are those of Unicode, digits those of ASCII."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), r"\p{L}", "A"), r"(?U)\s", " ")
@@ -109,7 +120,8 @@ class ZoneTable:
 
     @classmethod
     def build(cls) -> ZoneTable:
-        return cls(_zone_version(), {name: _transitions(name) for name in sorted(zoneinfo.available_timezones())})
+        version, names, read = zone_source()
+        return cls(version, {name: _transitions(name, read(name)) for name in names})
 
     def find(self, name: str) -> tuple[np.ndarray, np.ndarray] | None:
         key = name if name in self.zones else self.folded.get(name.lower())
@@ -148,28 +160,39 @@ class ZoneTable:
         return out
 
 
-def _zone_version() -> str:
-    try:
-        import tzdata
-
-        return f"tzdata {tzdata.IANA_VERSION}"
-    except ImportError:
-        return "system"
+def _written_version(folder: str) -> str | None:
+    """The release that a folder of zone files says it is."""
+    for name, pattern in (("tzdata.zi", r"# version (\S+)"), ("+VERSION", r"(\S+)"), ("version", r"(\S+)")):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                if match := re.match(pattern, f.readline()):
+                    return match[1]
+    return None
 
 
-def _zone_file(name: str) -> bytes:
+def zone_source() -> tuple[str, list[str], Callable[[str], bytes]]:
+    """Version, zone names and reader of one release: the first folder of the system's that names its release, or the package."""
     for folder in zoneinfo.TZPATH:
-        path = os.path.join(folder, *name.split("/"))
-        if os.path.isfile(path):
-            with open(path, "rb") as f:
-                return f.read()
-    package, _, base = f"tzdata.zoneinfo.{name.replace('/', '.')}".rpartition(".")
-    return importlib.resources.files(package).joinpath(base).read_bytes()
+        if version := _written_version(folder):
+            path = lambda name, folder=folder: os.path.join(folder, *name.split("/"))
+            names = sorted(n for n in zoneinfo.available_timezones() if os.path.isfile(path(n)))
+
+            def read(name: str) -> bytes:
+                with open(path(name), "rb") as f:
+                    return f.read()
+
+            if names:
+                return version, names, read
+    root = importlib.resources.files("tzdata")
+    names = (root / "zones").read_text(encoding="utf-8").split()
+    import tzdata
+
+    return tzdata.IANA_VERSION, sorted(names), lambda name: root.joinpath("zoneinfo", *name.split("/")).read_bytes()
 
 
-def _transitions(name: str) -> tuple[np.ndarray, np.ndarray]:
+def _transitions(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Those listed in the zone's file, then, where its last rule has summer time, those up to LAST."""
-    data = _zone_file(name)
     at = 0
     for width in (4, 8):  # the second part of the file repeats the first in 64 bits
         isutc, isstd, leap, times, types, chars = struct.unpack(">6l", data[at + 20 : at + 44])
@@ -185,7 +208,7 @@ def _transitions(name: str) -> tuple[np.ndarray, np.ndarray]:
     starts = np.append(np.int64(-(1 << 60)), starts)
     held = np.append(np.int64(offsets[first]), np.array(offsets, np.int64)[kinds] if times else np.zeros(0, np.int64))
     if b"," in data[at:]:
-        zone, epoch = zoneinfo.ZoneInfo(name), datetime(1970, 1, 1)
+        zone, epoch = zoneinfo.ZoneInfo.from_file(io.BytesIO(data), name), datetime(1970, 1, 1)
 
         def offset(seconds: int) -> int:
             utc = (epoch + timedelta(seconds=seconds)).replace(tzinfo=zone)
@@ -360,14 +383,16 @@ def with_utc_micros(df: DataFrame, text: str, zone: str, day_first: str, out: st
     """df with column `out`: the instant that `text` denotes, as microseconds since 1970 in UTC, finer digits cut off.
 
     zone and day_first name the columns with the clock's zone and the order of numeric dates of each row's sender. An
-    existing column of the name `out` is replaced; all other columns are kept as they are."""
-    shipped = df.sparkSession.sparkContext.broadcast(table or zone_table())
+    existing column of the name `out` is replaced; all other columns are kept as they are. The column's metadata name the
+    release of the zone data (zone_data) that all executors used."""
+    held = table or zone_table()
+    shipped = df.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf("long")
     def instants(t: pd.Series, m: pd.Series, z: pd.Series, f: pd.Series) -> pd.Series:
         return utc_micros(t, m, z, f, shipped.value)
 
-    # Cutting and masking happen in the JVM; texts too long for any notation aren't sent to Python.
-    cut = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
-    cut = F.when(F.length(cut) <= MAX_TEXT, cut)
-    return df.withColumn(out, instants(cut, mask_of(cut), F.col(zone), F.col(day_first)))
+    # Tidying and masking happen in the JVM. Called non-deterministic so that a filter on the result doesn't repeat it.
+    instants = instants.asNondeterministic()
+    found = instants(tidied(F.col(text)), mask_of(tidied(F.col(text))), F.col(zone), F.col(day_first))
+    return df.withColumn(out, found.alias(out, metadata={"zone_data": held.version}))
