@@ -11,9 +11,7 @@ def brute(deliveries, records):
     held = {}
     for d, loc, mod, pri, *_ in records:
         if loc is not None and d is not None:
-            old = held.setdefault(d, {}).get(loc)
-            now = (mod, pri)
-            held[d][loc] = now if old is None else tuple(max((x for x in p if x is not None), default=None) for p in zip(old, now))
+            held.setdefault(d, {}).setdefault(loc, set()).add((mod, pri))
     snaps = {}
     for d, s, n, at, declared, _ in deliveries:
         if None not in (d, s, n) and declared == len(held.get(d, {})):
@@ -47,3 +45,23 @@ def test_empty_snapshot_and_empty_tables(spark):
     got = rows(snapshot_changes(spark.createDataFrame(deliveries, DELIVERIES), spark.createDataFrame([(1, "a", None, None, None, None, None)], RECORDS)))
     assert got == [(7, 2, "a", "removed")]
     assert rows(snapshot_changes(spark.createDataFrame([], DELIVERIES), spark.createDataFrame([], RECORDS))) == []
+
+
+def test_a_delivery_that_contradicts_itself(spark):
+    deliveries = [(1, 7, 1, 1, 2, None), (2, 7, 2, 1, 2, None), (3, 7, 3, 1, 2, None)]
+    records = [(d, k, m, p, None, None, None) for d, k, m, p in [(1, "a", 1, 0.5), (1, "a", 2, 0.1), (1, "b", 1, 0.0), (2, "a", 2, 0.1), (2, "a", 1, 0.5), (2, "b", 1, -0.0), (3, "a", 2, 0.5), (3, "b", 1, 0.0), (3, "b", 1, -0.0)]]
+    got = rows(snapshot_changes(spark.createDataFrame(deliveries, DELIVERIES), spark.createDataFrame(records, RECORDS)))
+    assert got == [(7, 3, "a", "changed")]
+
+
+def test_many_deliveries_are_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("waymark.operators.snapshots.MAX_BROADCAST", 1)
+    deliveries = [(1, 7, 1, 1, 1, None), (2, 7, 2, 1, 1, None)]
+    got = snapshot_changes(spark.createDataFrame(deliveries, DELIVERIES), spark.createDataFrame([(1, "a", 1, None, None, None, None), (2, "b", 1, None, None, None, None)], RECORDS))
+    assert rows(got) == [(7, 2, "a", "removed"), (7, 2, "b", "added")]
+
+
+def test_the_records_travel_twice(spark):
+    deliveries = spark.createDataFrame([(1, 7, 1, 1, 1, None)], DELIVERIES)
+    plan = snapshot_changes(deliveries, spark.createDataFrame([], RECORDS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_key") and sum("Exchange hashpartitioning" in x and "_key" in x for x in plan.split("\n")) == 1

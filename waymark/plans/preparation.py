@@ -63,17 +63,18 @@ QUERIES = {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_counts, p4_f
 
 ORACLES = {
     "p2_found": """
-WITH keyed AS (SELECT delivery_id, loc, max(lastmod) AS lastmod, max(priority) AS priority FROM entry_snapshots WHERE loc IS NOT NULL GROUP BY ALL),
-held AS (SELECT delivery_id, count(*) AS n FROM keyed GROUP BY ALL),
+WITH keyed AS (SELECT DISTINCT delivery_id, loc, lastmod, priority FROM entry_snapshots WHERE loc IS NOT NULL AND delivery_id IS NOT NULL),
+held AS (SELECT delivery_id, count(DISTINCT loc) AS n FROM keyed GROUP BY ALL),
 complete AS (SELECT d.* FROM snapshot_deliveries d LEFT JOIN held h ON h.delivery_id = d.delivery_id WHERE coalesce(h.n, 0) = d.declared_rows),
 snap AS (SELECT * FROM complete QUALIFY row_number() OVER (PARTITION BY sitemap_id, snap_no ORDER BY received_at DESC, delivery_id DESC) = 1),
 pairs AS (SELECT sitemap_id, snap_no, delivery_id, lag(delivery_id) OVER (PARTITION BY sitemap_id ORDER BY snap_no) AS before FROM snap),
 later AS (SELECT p.sitemap_id, p.snap_no, k.loc, k.lastmod, k.priority FROM pairs p JOIN keyed k ON k.delivery_id = p.delivery_id WHERE p.before IS NOT NULL),
-earlier AS (SELECT p.sitemap_id, p.snap_no, k.loc, k.lastmod, k.priority FROM pairs p JOIN keyed k ON k.delivery_id = p.before)
-SELECT coalesce(l.sitemap_id, e.sitemap_id) AS sitemap_id, coalesce(l.snap_no, e.snap_no) AS snap_no, coalesce(l.loc, e.loc) AS loc,
-  CASE WHEN e.loc IS NULL THEN 'added' WHEN l.loc IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
-FROM later l FULL JOIN earlier e ON l.sitemap_id = e.sitemap_id AND l.snap_no = e.snap_no AND l.loc = e.loc
-WHERE l.loc IS NULL OR e.loc IS NULL OR l.lastmod IS DISTINCT FROM e.lastmod OR l.priority IS DISTINCT FROM e.priority""",
+earlier AS (SELECT p.sitemap_id, p.snap_no, k.loc, k.lastmod, k.priority FROM pairs p JOIN keyed k ON k.delivery_id = p.before),
+news AS (SELECT * FROM later EXCEPT ALL SELECT * FROM earlier), olds AS (SELECT * FROM earlier EXCEPT ALL SELECT * FROM later),
+touched AS (SELECT sitemap_id, snap_no, loc FROM news UNION SELECT sitemap_id, snap_no, loc FROM olds),
+l AS (SELECT DISTINCT sitemap_id, snap_no, loc, true AS there FROM later), e AS (SELECT DISTINCT sitemap_id, snap_no, loc, true AS there FROM earlier)
+SELECT t.sitemap_id, t.snap_no, t.loc, CASE WHEN e.there IS NULL THEN 'added' WHEN l.there IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM touched t LEFT JOIN l USING (sitemap_id, snap_no, loc) LEFT JOIN e USING (sitemap_id, snap_no, loc)""",
     "p3_found": r"""
 WITH cut AS (SELECT entry_id, lower(CASE WHEN strpos(loc, '?') > 0 THEN left(loc, strpos(loc, '?') - 1) ELSE loc END) AS path,
   lower(CASE WHEN strpos(loc, '?') > 0 THEN substr(loc, strpos(loc, '?') + 1) ELSE '' END) AS query FROM entry_listings WHERE loc IS NOT NULL),
