@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators.format_copies import collapse_formats, format_groups
 from waymark.operators.incremental import Incremental
 from waymark.operators.line_errors import failed_lines, loaded_lines
 from waymark.operators.snapshots import snapshot_changes
@@ -29,14 +28,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "snapshot_deliveries"), table(spark, sf_dir, "entry_snapshots"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_groups(table(spark, sf_dir, "entry_listings"), "entry_id", "loc")
-
-
-def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse_formats(table(spark, sf_dir, "entry_listings"), "entry_id", "loc")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = Incremental(spark, scratch_path(spark, "runs"))
     job.process(table(spark, sf_dir, "entry_feed"), table(spark, sf_dir, "feed_runs"))
@@ -59,7 +50,7 @@ def p5_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded_lines(table(spark, sf_dir, "raw_lines"), "delay")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_counts, p4_found, p5_found, p5_entries, p5_rules, p5_delays)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p5_found, p5_entries, p5_rules, p5_delays)}
 
 ORACLES = {
     "p2_found": """
@@ -75,18 +66,6 @@ touched AS (SELECT sitemap_id, snap_no, loc FROM news UNION SELECT sitemap_id, s
 l AS (SELECT DISTINCT sitemap_id, snap_no, loc, true AS there FROM later), e AS (SELECT DISTINCT sitemap_id, snap_no, loc, true AS there FROM earlier)
 SELECT t.sitemap_id, t.snap_no, t.loc, CASE WHEN e.there IS NULL THEN 'added' WHEN l.there IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM touched t LEFT JOIN l USING (sitemap_id, snap_no, loc) LEFT JOIN e USING (sitemap_id, snap_no, loc)""",
-    "p3_found": r"""
-WITH cut AS (SELECT entry_id, lower(CASE WHEN strpos(loc, '?') > 0 THEN left(loc, strpos(loc, '?') - 1) ELSE loc END) AS path,
-  lower(CASE WHEN strpos(loc, '?') > 0 THEN substr(loc, strpos(loc, '?') + 1) ELSE '' END) AS query FROM entry_listings WHERE loc IS NOT NULL),
-keyed AS (SELECT entry_id, trim(regexp_replace(path, '[^\p{L}\p{N}]+', ' ', 'g')) || '?' ||
-  array_to_string(list_sort(list_filter(list_transform(string_split(replace(query, ';', '&'), '&'), lambda f: trim(regexp_replace(f, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda f: f <> '')), '&') AS key FROM cut)
-SELECT * FROM (SELECT min(entry_id) OVER (PARTITION BY key) AS first_id, entry_id AS copy_id FROM keyed) WHERE first_id < copy_id""",
-    "p3_counts": r"""
-WITH cut AS (SELECT entry_id, lower(CASE WHEN strpos(loc, '?') > 0 THEN left(loc, strpos(loc, '?') - 1) ELSE loc END) AS path,
-  lower(CASE WHEN strpos(loc, '?') > 0 THEN substr(loc, strpos(loc, '?') + 1) ELSE '' END) AS query FROM entry_listings WHERE loc IS NOT NULL),
-keyed AS (SELECT entry_id, trim(regexp_replace(path, '[^\p{L}\p{N}]+', ' ', 'g')) || '?' ||
-  array_to_string(list_sort(list_filter(list_transform(string_split(replace(query, ';', '&'), '&'), lambda f: trim(regexp_replace(f, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda f: f <> '')), '&') AS key FROM cut)
-SELECT min(entry_id) AS first_id, count(*) AS n_copies FROM keyed GROUP BY key""",
     "p4_found": """
 WITH good AS (SELECT run_id, started_at, lag(started_at) OVER (ORDER BY run_id) AS before FROM feed_runs WHERE status = 'succeeded'),
 best AS (SELECT g.run_id, f.loc, f.lastmod, f.row_id FROM entry_feed f JOIN good g ON f.arrived_at <= g.started_at AND (g.before IS NULL OR f.arrived_at > g.before)
