@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 mixing = pytest.importorskip("waymark.llm.mixing")
@@ -20,14 +21,23 @@ def test_flight_keeps_totals_and_expectations():
     draw = random.Random(3)
     size = [float(int(draw.paretovariate(1.2) * 50)) for _ in range(2000)]
     chance = [0.37] * len(size)
-    out = mixing.fly(chance, size, random.Random(1), True)
+    out = mixing.fly(np.array(chance), np.array(size), np.random.default_rng(1), True)
     assert set(out) == {0.0, 1.0}
     assert abs(sum(out) - 740) <= 2 and abs(sum(o * s for o, s in zip(out, size)) - 0.37 * sum(size)) < 0.005 * sum(size)
-    small, hits = [1.0, 2.0, 3.0, 4.0, 50.0], [0] * 5
-    for seed in range(4000):
-        hits = [h + o for h, o in zip(hits, mixing.fly([0.4] * 5, small, random.Random(seed), True))]
-    assert all(abs(h / 4000 - 0.4) < 0.04 for h in hits)
-    assert mixing.fly([], [], random.Random(1), True) == [] and mixing.fly([0.5, 0.5], [3.0, 3.0], random.Random(1), False) in ([0.0, 1.0], [1.0, 0.0])
+    flown = mixing.fly(np.array(chance), np.array(size), np.random.default_rng(2), False)
+    assert abs(flown.sum() - 740) < 1e-6 and abs(flown @ np.array(size) - 0.37 * sum(size)) < 1e-4 and ((flown > 0) & (flown < 1)).sum() <= 2
+    empty = np.zeros(0)
+    assert len(mixing.fly(empty, empty, np.random.default_rng(1), True)) == 0
+    assert sorted(mixing.fly(np.array([0.5, 0.5]), np.array([3.0, 3.0]), np.random.default_rng(1), False)) == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("size", [[1.0, 2.0, 3.0, 4.0, 50.0], [5.0] * 7, [300.0, 200.0] + [1.0 + k % 3 for k in range(40)]])
+@pytest.mark.parametrize("giant", [mixing.GIANT, 2.0])
+def test_both_kinds_of_move_keep_the_chances(monkeypatch, size, giant):
+    monkeypatch.setattr(mixing, "GIANT", giant)  # 2.0: no document moves first
+    size, n = np.array(size), 3000
+    hits = sum(mixing.fly(np.full(len(size), 0.4), size, np.random.default_rng(seed), False) for seed in range(n))
+    assert np.abs(hits / n - 0.4).max() < 0.045
 
 
 def make(spark):
@@ -54,3 +64,10 @@ def test_empty(spark):
     documents, targets = make(spark)
     assert mixing.mixed(documents.where("false"), targets).count() == 0
     assert mixing.mixed(documents.limit(10), targets.where("false")).count() == 0
+
+
+def test_the_landing_misses_by_least():
+    size, chance = np.array([9000.0] + [10.0] * 50), np.full(51, 0.98)
+    for seed in range(50):
+        out = mixing.fly(chance, size, np.random.default_rng(seed), True)
+        assert out[0] == 1.0 and abs(out @ size - chance @ size) < 200

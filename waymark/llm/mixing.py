@@ -4,11 +4,17 @@ The wanted tokens of each source follow from the shares and the total; a source
 number of repeats gives all it can, and the others share what is left in proportion to their targets. Every document of a
 source then has the same expected number of copies: a whole part, and a fraction that is an inclusion probability.
 
-Fractions are turned into zeros and ones by the cube method. The flight phase moves three probabilities at a time along
-the null space of the balancing equations (number of documents, number of tokens) until one of them is 0 or 1, so both
-totals stay as they are while all expectations hold. It runs in blocks of BLOCK documents of a source; each block leaves
-two fractions at most, which fly again in blocks, until one block a source is left. The landing gives up the equation of
-documents for the last two and draws the very last one: a source misses its tokens by less than one document's.
+Fractions are turned into zeros and ones by the cube method. The flight phase moves probabilities along the null space of
+the balancing equations (number of documents, number of tokens) until one of them is 0 or 1. It runs in blocks of BLOCK
+documents of a source, in rounds over all triples of neighbours in size at once; each block leaves two fractions at most,
+which fly again in blocks, until one block a source is left. The landing takes, for the one or two that are left then, the
+ends that miss the source's tokens by least: less than half of a document's.
+
+Documents that weigh more than GIANT of their block move first, against all others of the block instead of two. That
+changes neither probabilities nor totals: every move, of either kind, is along a vector that both equations map to zero,
+so both totals stay; and its two ends are drawn with chances in inverse proportion to their distances, so that each
+probability is in expectation what it was (up to the landing). The two kinds differ only in how much is left for it. Nor does the cut
+into blocks matter to either, as each block's totals stay by themselves.
 
 Documents of other sources or of none, and documents without tokens (null and empty texts), take no part. Rows that repeat
 a doc_id are documents of their own. Null shares count as 0, null repeats as 1.
@@ -16,8 +22,9 @@ a doc_id are documents of their own. Null shares count as 0, null repeats as 1.
 
 from __future__ import annotations
 
+import itertools
 import math
-import random
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -49,66 +56,59 @@ def expected_copies(sizes: dict[str, int], targets: Iterable[tuple[str, float |
     return copies
 
 
-def settle_giants(chance: list[float], size: list[float], draw: random.Random) -> list[float]:
-    """Decide the units of over GIANT of the block's size first, each against all others at once.
+def _step(chance: np.ndarray, way: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """chance after a move along way, a row a move: to the end of either direction, in expectation nowhere."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        above, below = (1 - chance) / np.abs(way), chance / np.abs(way)
+    above, below = np.where(way == 0, np.inf, above), np.where(way == 0, np.inf, below)
+    up, down = np.where(way > 0, above, below).min(1), np.where(way > 0, below, above).min(1)
+    out = chance + np.where(draw.random(len(chance)) * (up + down) < down, up, -down)[:, None] * way
+    return np.where(out < _EDGE, 0.0, np.where(out > 1 - _EDGE, 1.0, out))
 
-    In a window of three a unit far larger than its neighbours would hardly move and be left for the landing. Here it moves
-    at full pace along a null vector that spreads what balances it evenly over the block. There are at most 1 / GIANT."""
-    out, tokens = np.array(chance, float), np.array(size, float)
+
+def settle_giants(chance: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Decide the units of over GIANT of the block's size first (at most 1 / GIANT), each against all others at once.
+
+    Between two neighbours a unit far larger than they are would hardly move. Here it moves at full pace along a null vector
+    that spreads what balances it evenly over the block."""
+    out = chance.copy()
     flying = (out > 0) & (out < 1)
-    for k in np.flatnonzero(flying & (tokens > GIANT * tokens[flying].sum())):
+    for k in np.flatnonzero(flying & (size > GIANT * size[flying].sum())):
         while 0 < out[k] < 1:
             rest = (out > 0) & (out < 1)
             rest[k] = False
-            t = tokens[rest]
+            t = size[rest]
             spread = t.var() if len(t) > 1 else 0.0
             if not spread:
                 break
-            slope = -(tokens[k] - t.mean()) / (len(t) * spread)
+            slope = -(size[k] - t.mean()) / (len(t) * spread)
             way = np.zeros(len(out))
             way[k], way[rest] = 1.0, -1.0 / len(t) + slope * (t - t.mean())
-            up, down = _reach(out, way), _reach(out, -way)
-            out = out + (up if draw.random() * (up + down) < down else -down) * way
-            out[out < _EDGE], out[out > 1 - _EDGE] = 0.0, 1.0
-    return out.tolist()
-
-
-def _reach(chance: np.ndarray, way: np.ndarray) -> float:
-    moving = np.abs(way) > 1e-15
-    c, w = chance[moving], way[moving]
-    return float(np.min(np.where(w > 0, (1 - c) / np.abs(w), c / np.abs(w))))
+            way[np.abs(way) < 1e-15] = 0.0
+            out = _step(out[None], way[None], draw)[0]
+    return out
 
 
-def fly(chance: list[float], size: list[float], draw: random.Random, land: bool) -> list[float]:
+def fly(chance: np.ndarray, size: np.ndarray, draw: np.random.Generator, land: bool) -> np.ndarray:
     """The flight over one block; with land, also the landing."""
-    out, window = settle_giants(chance, size, draw), []
-
-    def move(units: list[int], way: list[float]) -> None:
-        up = min((1 - out[k]) / w if w > 0 else out[k] / -w for k, w in zip(units, way, strict=True) if w)
-        down = min(out[k] / w if w > 0 else (1 - out[k]) / -w for k, w in zip(units, way, strict=True) if w)
-        step = up if draw.random() * (up + down) < down else -down
-        for k, w in zip(units, way, strict=True):
-            value = out[k] + step * w
-            out[k] = 0.0 if value < _EDGE else 1.0 if value > 1 - _EDGE else value
-
-    for k in range(len(out)):
-        if not 0 < out[k] < 1:
-            continue
-        window.append(k)
-        while len(window) == 3:
-            a, b, c = (size[i] for i in window)
-            move(window, [c - b, a - c, b - a] if a != b or b != c else [1.0, -1.0, 0.0])
-            window = [i for i in window if 0 < out[i] < 1]
-    if len(window) == 2 and size[window[0]] == size[window[1]]:
-        move(window, [1.0, -1.0])
-        window = [i for i in window if 0 < out[i] < 1]
-    if land:
-        while len(window) == 2:
-            a, b = (size[i] for i in window)
-            move(window, [b, -a])
-            window = [i for i in window if 0 < out[i] < 1]
-        for i in window:
-            out[i] = float(draw.random() < out[i])
+    out = settle_giants(np.asarray(chance, float), np.asarray(size, float), draw)
+    size = np.asarray(size, float)
+
+    def open_() -> np.ndarray:
+        return np.flatnonzero((out > 0) & (out < 1))
+
+    while len(left := open_()) > 2:
+        units = left[: len(left) // 3 * 3].reshape(-1, 3)
+        a, b, c = size[units].T
+        way = np.stack([c - b, a - c, b - a], 1)
+        way[(a == b) & (b == c)] = [1.0, -1.0, 0.0]
+        out[units] = _step(out[units], way / np.abs(way).max(1, keepdims=True), draw)
+    if len(left) == 2 and size[left[0]] == size[left[1]]:
+        out[left] = _step(out[left][None], np.array([[1.0, -1.0]]), draw)[0]
+    if land and len(left := open_()):
+        ends = np.array(list(itertools.product((0.0, 1.0), repeat=len(left))))
+        miss = np.abs((ends - out[left]) @ size[left])
+        out[left] = ends[draw.choice(np.flatnonzero(miss == miss.min()))]
     return out
 
 
@@ -116,9 +116,9 @@ def _flight(land: bool, seed: int):
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # the largest fly first, so that what is left for the landing is small
         rows = rows.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-        draw = random.Random(f"{seed}/{key[0]}/{int(key[1])}")
-        chance = fly(rows["chance"].tolist(), rows["n_tokens"].astype(float).tolist(), draw, land)
-        return rows.assign(chance=np.array(chance, float))
+        draw = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1])])
+        chance = fly(rows["chance"].to_numpy(float), rows["n_tokens"].to_numpy(float), draw, land)
+        return rows.assign(chance=chance)
 
     return block
 

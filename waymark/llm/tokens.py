@@ -162,18 +162,28 @@ class Encoder:
     """Encodes batches; distinct words that came before are remembered, up to a bound."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.words, self.cut = bpe, {}, regex.compile(WORDS)
+        self.bpe, self.words, self.sizes, self.cut = bpe, {}, {}, regex.compile(WORDS)
 
-    def encode(self, texts: list[str | None]):
+    def _cut(self, texts: list[str | None]):
+        """The words of each text, all of them known by then."""
         for begin in range(0, len(texts), 256):
             cut = [self.cut.findall(t) if t else [] for t in texts[begin : begin + 256]]
             words = set(chain.from_iterable(cut))
             fresh = list(words - self.words.keys())
             if len(self.words) + len(fresh) > _KEPT_WORDS:
-                self.words, fresh = {}, list(words)
-            self.words.update(zip(fresh, self.bpe.encode_words([w.encode() for w in fresh]), strict=True))
-            for each in cut:
-                yield list(chain.from_iterable(map(self.words.__getitem__, each)))
+                self.words, self.sizes, fresh = {}, {}, list(words)
+            found = self.bpe.encode_words([w.encode() for w in fresh])
+            self.words.update(zip(fresh, found, strict=True))
+            self.sizes.update(zip(fresh, map(len, found), strict=True))
+            yield from cut
+
+    def encode(self, texts: list[str | None]):
+        for each in self._cut(texts):
+            yield list(chain.from_iterable(map(self.words.__getitem__, each)))
+
+    def count(self, texts: list[str | None]):
+        for each in self._cut(texts):
+            yield sum(map(self.sizes.__getitem__, each))
 
 
 _ENCODERS: dict[int, tuple] = {}
@@ -189,14 +199,16 @@ def _encoder(shipped) -> Encoder:
 
 
 def token_ids(spark: SparkSession, text: Column, vocabulary: str | None = None) -> Column:
-    """The ids of text as array<int>. The vocabulary file is read by the driver only and shipped to the executors."""
+    """The ids of text as array<int>. The vocabulary file is read by the driver only and shipped to the executors.
+
+    Called non-deterministic, as all Python functions here, so that a filter on the result doesn't repeat it."""
     shipped = spark.sparkContext.broadcast(load(vocabulary or default_vocabulary()))
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(x, np.int32) for x in _encoder(shipped).encode(texts.tolist())], dtype=object)
 
-    return ids(F.coalesce(text, F.lit("")))
+    return ids.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def token_count(spark: SparkSession, text: Column, vocabulary: str | None = None) -> Column:
@@ -205,6 +217,6 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str | None = None
 
     @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(x) for x in _encoder(shipped).encode(texts.tolist())], dtype="int64")
+        return pd.Series(list(_encoder(shipped).count(texts.tolist())), dtype="int64")
 
-    return count(F.coalesce(text, F.lit("")))
+    return count.asNondeterministic()(F.coalesce(text, F.lit("")))
