@@ -37,8 +37,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = [r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().orderBy("subject").collect()]  # a fixed dozen
-    return assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), areas)
+    areas = table(spark, sf_dir, "subject_areas").groupBy("subject").agg(F.min("about").alias("about")).orderBy("subject").collect()  # a fixed dozen
+    return assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), [r.subject for r in areas], [r.about for r in areas])
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
