@@ -176,6 +176,32 @@ def test_cache(spark):
     text = policy.to_json(F.col("selected"), F.col("always"), F.col("rules"), F.col("crawl_delay"), F.col("sitemaps"))
     back = p.select("*", policy.from_json(text).alias("b")).collect()
     assert all((r.selected, r.always, r.rules, r.crawl_delay, r.sitemaps) == tuple(r.b)[:5] and r.b.error is None for r in back)
-    bad = spark.createDataFrame([('{"user_agent":"a","always":true,"allow":[]}',), ('{"user_agent":"a"}',), ("x",), (None,), ('{"user_agent":"a","allow":["/$$","/a"],"new":1}',)], "t string")
-    got = bad.select(policy.from_json(F.col("t")).alias("b")).collect()
-    assert [r.b.error for r in got] == ["both", "neither", "invalid", "invalid", None] and [x.pattern for x in got[4].b.rules] == ["/a"]
+head = '{"user_agent":"a",'
+    bad = [head + '"always":true,"allow":[]}', head[:-1] + "}", "x", None, head + '"allow":["/a"]}', head + '"allow":[],"allow":[],"disallow":[]}', '{"allow":[],"disallow":[]}', head + '"always":true,"always":true}']
+    good = [head + '"allow":["/$$","a b","x\\"allow\\":"],"disallow":["/c","/long/one"],"new":1}', head + '"always":false}']
+    df = spark.createDataFrame(list(enumerate(bad + good)), "i int, t string")
+    got = [r.b for r in df.orderBy("i").select(policy.from_json(F.col("t")).alias("b")).collect()]
+    assert [r.error for r in got] == ["both", "missing", "invalid", "invalid", "missing", "duplicate", "invalid", "duplicate", None, None]
+    assert all(tuple(r)[:5] == (None,) * 5 for r in got[:8]) and got[9].always is False
+    assert [(x.pattern, x.allow) for x in got[8].rules] == [("/x%22allow%22:", True), ("/long/one", False), ("/a%20b", True), ("/c", False)]
+
+
+def test_one_verdict_for_all_and_labels(spark):
+    row = spark.createDataFrame([("Some Bot",)], "a string").select(*policy.from_always(False, F.col("a"))).first()
+    assert tuple(row) == ("Some Bot", False, None, None, [])
+    df = spark.createDataFrame([("/x",), ("/robots.txt",)], "p string").select(F.lit(False).alias("always"), F.lit(row.rules).cast("array<struct<len:int,allow:boolean,pattern:string,like_pattern:string,kind:string>>").alias("rules"), "p")
+    assert [r[0] for r in df.select(match.allowed(F.col("always"), F.col("rules"), F.col("p"))).collect()] == [False, False]
+    labels = spark.createDataFrame([(t,) for t in ("successful", " REDIRECT ", "Unavailable", "unreachable", "gone", "", None)], "t string").select(policy.access_label(F.col("t")))
+    assert [r[0] for r in labels.collect()] == ["Successful", "Redirect", "Unavailable", "Unreachable", None, None, None]
+    d = docs(spark, *["User-agent: *\nDisallow: /"] * 5).withColumn("access", F.element_at(F.array(*map(F.lit, ["UNREACHABLE", "redirect", "Successful", "gone", "unavailable"])), F.col("robots_id").cast("int") + 1))
+    got = {r.robots_id: (r.always, r.rules is None) for r in policy.policies(d, agents(spark, "*")).collect()}
+    assert got == {0: (False, True), 1: (True, True), 2: (None, False), 3: (None, False), 4: (True, True)}
+
+
+def test_equal_policies(spark):
+    texts = ["User-agent: *\nAllow: /a\nDisallow: /b", "User-agent: *\nDisallow: /b\nAllow: /a", "User-agent: *\nDisallow: /a\nDisallow: /b", "User-agent: x\nAllow: /a\nDisallow: /b"]
+    p = policies(spark, texts, ("x",)).select("robots_id", F.struct("selected", "always", "rules", "crawl_delay", "sitemaps").alias("p"))
+    pairs = p.where("robots_id = 0").select(F.col("p").alias("q")).crossJoin(p)
+    got = {r[0]: r[1:] for r in pairs.select("robots_id", policy.same_policy(F.col("p"), F.col("q")), policy.same_policy(F.col("p"), F.col("q"), agent=False)).collect()}
+    assert got == {0: (True, True), 1: (True, True), 2: (False, False), 3: (False, True)}
+

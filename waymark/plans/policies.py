@@ -116,8 +116,41 @@ def robots_text_verdict_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = located(spark, sf_dir).join(numbered.select("host_id", "_n").distinct(), "host_id").withColumn("_k", F.pmod("entry_id", "_n")).drop("_n")
     urls = urls.join(numbered.drop("_n"), ["host_id", "_k"]).select("entry_id", "robots_id", url_path(F.col("loc")).alias("path"))
     rows = urls.join(policy.policies(documents, agents(spark)).select("robots_id", "agent", "always", "rules"), "robots_id")
-    verdict = match.try_allowed(F.col("always"), F.col("rules"), F.col("path"))
-    return rows.select("entry_id", "agent", verdict.alias("verdict")).withColumn("allowed", F.coalesce("verdict", F.lit(True)))
+    policy_path = F.col("always"), F.col("rules"), F.col("path")
+    return rows.select("entry_id", "agent", match.try_allowed(*policy_path).alias("verdict"), match.allowed(*policy_path).alias("allowed"))
+
+
+def robots_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column functions over paths: a document has a handful of rules, which travel with its policies."""
+    urls = located(spark, sf_dir).select("entry_id", (F.pmod("entry_id", F.lit(len(SAMPLES))) + 1).alias("robots_id"), url_path(F.col("loc")).alias("path"))
+    rows = urls.join(F.broadcast(sample_policies(spark)), "robots_id")  # a row a sample and agent
+    policy_path = F.col("always"), F.col("rules"), F.col("path")
+    return rows.select("entry_id", "agent", match.try_allowed(*policy_path).alias("verdict"), match.allowed(*policy_path).alias("allowed"))
+
+
+def robots_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each agent's policy of a document is that of `*`: as a whole, and but for the agent."""
+    held = loaded_policies(spark, sf_dir).select("robots_id", "agent", F.struct("selected", "always", "rules", "crawl_delay", "sitemaps").alias("_p"))
+    by = held.groupBy("robots_id").agg(F.map_from_entries(F.collect_list(F.struct("agent", "_p"))).alias("_by"))  # an entry an agent
+    one, star = F.element_at("_by", F.col("agent")), F.element_at("_by", F.lit("*"))
+    rows = by.select("robots_id", "_by", F.explode(F.map_keys("_by")).alias("agent"))
+    return rows.select("robots_id", "agent", policy.same_policy(one, star).alias("same"), policy.same_policy(one, star, agent=False).alias("same_rules"))
+
+
+def robots_cache_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached texts made from the rule lines, one sort of damage after the other: what each is found to be."""
+    rules = host_rules(spark, sf_dir).select("line_id", F.to_json(F.array("pattern")).alias("p"), "agent")
+    a = F.concat(F.lit('{"user_agent":'), F.get(F.split(F.to_json(F.struct("agent")), ":", 2), F.lit(1)))  # {"agent":"x"} -> "x"}
+    head = F.regexp_replace(a, r"\}$", "")
+    texts = [
+        F.concat(head, F.lit(',"allow":'), "p", F.lit(',"disallow":[],"x":1}')), F.concat(head, F.lit(',"always":true,"allow":'), "p", F.lit("}")),
+        F.concat(head, F.lit(',"allow":'), "p", F.lit("}")), F.concat(head, F.lit(',"allow":'), "p", F.lit(',"allow":[],"disallow":[]}')),
+        F.concat(head, F.lit(',"always":')), F.concat(head, F.lit(',"always":false}')),
+    ]
+    case = F.pmod("line_id", F.lit(len(texts)))
+    text = F.element_at(F.array(*texts), case.cast("int") + 1)
+    back = rules.select("line_id", policy.from_json(text).alias("_p"))
+    return back.select("line_id", "_p.error", "_p.always", F.coalesce(F.size("_p.rules"), F.lit(-1)).alias("n_rules"))
 
 
 def _delay(policies: DataFrame) -> DataFrame:
@@ -170,7 +203,7 @@ def robots_policy_stats_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.lit("User-agent: *\nDisallow: /docs\n"), "UTF-8")
-    documents = table(spark, sf_dir, "hosts").select(F.col("host_id").alias("robots_id"), F.lower("access_result").alias("access"), text.alias("content"))
+    documents = table(spark, sf_dir, "hosts").select(F.col("host_id").alias("robots_id"), F.col("access_result").alias("access"), text.alias("content"))
     held = policy.policies(documents, agents(spark).where("agent = '*'"))
     urls = located(spark, sf_dir).withColumnRenamed("host_id", "robots_id")
     return match.verdicts(held, urls).select("entry_id", "allowed")
@@ -255,7 +288,7 @@ QUERIES = {
         robots_verdict, robots_try_verdict, robots_first_rule, robots_lex, robots_lex_documents, robots_groups, robots_text_verdict, robots_delay,
         robots_sitemaps, robots_policy_stats, robots_access, robots_wildcard_kind, path_normalize, robots_location, robots_build,
         robots_build_parse, robots_cache_roundtrip, robots_lex_loaded, robots_groups_loaded, robots_text_verdict_loaded, robots_delay_loaded, robots_sitemaps_loaded,
-        robots_policy_stats_loaded, robots_cache_roundtrip_loaded,
+        robots_policy_stats_loaded, robots_cache_roundtrip_loaded, robots_relative, robots_equal, robots_cache_errors,
     )
 }
 
@@ -377,3 +410,12 @@ _MAPPED = r"""samples AS (WITH m AS (SELECT *, floor(sum(strlen(loc) + 10) OVER
   FROM (SELECT DISTINCT host_id, loc FROM index_listings WHERE NOT regexp_matches(loc, '[#\r\n]|^\s|\s$|^$')))
 SELECT host_id::VARCHAR || '/' || part AS robots_id, 'User-Agent: *' || chr(10) || 'Allow: *' || chr(10) || chr(10) || string_agg('Sitemap: ' || loc, chr(10) ORDER BY loc) AS txt FROM m GROUP BY ALL)"""
 ORACLES["robots_sitemaps_loaded"] = ORACLES["robots_sitemaps"].replace(_SAMPLES, _MAPPED, 1)
+ORACLES["robots_relative"] = ORACLES["robots_text_verdict"]
+ORACLES["robots_equal"] = _POLICY.replace(_SAMPLES, _LOADED, 1) + """, essence AS (SELECT s.robots_id, s.agent, s.selected, d.crawl_delay,
+  coalesce((SELECT string_agg(r.pattern || chr(10) || r.allow, chr(10) ORDER BY r.pattern, r.allow) FROM rules r WHERE r.robots_id = s.robots_id AND r.agent = s.agent), '') AS r
+  FROM selected s LEFT JOIN delays d ON d.robots_id = s.robots_id AND d.agent = s.agent)
+SELECT a.robots_id, a.agent, b.selected = a.selected AND b.r = a.r AND a.crawl_delay IS NOT DISTINCT FROM b.crawl_delay AS same, b.r = a.r AND a.crawl_delay IS NOT DISTINCT FROM b.crawl_delay AS same_rules
+FROM essence a JOIN essence b ON b.robots_id = a.robots_id AND b.agent = '*'"""
+ORACLES["robots_cache_errors"] = _LINES + f"""SELECT line_id, CASE line_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'both' WHEN 2 THEN 'missing' WHEN 3 THEN 'duplicate' WHEN 4 THEN 'invalid' END AS error,
+  CASE WHEN line_id % 6 = 5 THEN false END AS always, CASE WHEN line_id % 6 = 0 THEN CASE WHEN ({kind_sql(norm_sql("f[3]"))}) IS NULL THEN 0 ELSE 1 END ELSE -1 END AS n_rules
+FROM judged WHERE reason IS NULL AND feed = 'rule'"""

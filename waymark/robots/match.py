@@ -29,28 +29,68 @@ def try_allowed(always: Column, rules: Column, path: Column) -> Column:
     return F.when(always.isNotNull(), always).when(normal == "/robots.txt", True).otherwise(first_rule(rules, normal)["allow"])
 
 
+def allowed(always: Column, rules: Column, path: Column) -> Column:
+    """try_allowed, and true where no rule matches."""
+    return F.coalesce(try_allowed(always, rules, path), F.lit(True))
+
+
+_GRAM = 4
+
+
+def _anchors(pattern: Column) -> Column:
+    """struct(sort, text): what a path must hold for a rule to match. `head`: it begins with the text, which stands before the
+    first `*` or `$`. `gram`: where the head is `/` alone, it holds the text, the end of the longest literal piece, of at
+    most _GRAM characters. `exact`: it is the text. `any`: the rule has no literal at all and matches every path, or (`/$`) one."""
+    head = F.regexp_extract(pattern, r"^[^*$]*", 0)
+    pieces = F.split(F.regexp_replace(F.regexp_replace(pattern, r"^/(?=[*$])|\$$", ""), r"\*+", "*"), "\\*")
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    plain = pattern.rlike(r"^/\*+\$?$") | (pattern == "/")
+    return (
+        F.when(plain, F.struct(F.lit("any").alias("sort"), F.lit("").alias("text")))
+        .when(pattern.rlike(r"^[^*]*\$$"), F.struct(F.lit("exact").alias("sort"), head.alias("text")))
+        .when((F.length(head) <= 1) & (longest != ""), F.struct(F.lit("gram").alias("sort"), F.right(longest, F.lit(_GRAM)).alias("text")))
+        .otherwise(F.struct(F.lit("head").alias("sort"), head.alias("text")))
+    )
+
+
+def _grams(path: Column, n: Column) -> Column:
+    """All pieces of n characters of a path."""
+    return F.when(F.length(path) >= n, F.transform(F.sequence(F.lit(1), F.length(path) - n + 1), lambda i: F.substring(path, i, n)))
+
+
 def decide(paths: DataFrame, rules: DataFrame, key: list[str], ident: str) -> DataFrame:
     """key, ident, len, allow of the deciding rule of each path that any rule matches.
 
-    paths: key, ident and path (normalised); rules: key, pattern, like_pattern, kind, len, allow. Each rule has a literal
-    head, what stands before its first `*` or `$`, that a path must begin with. So a path meets, by a hash join, only the
-    rules whose head is one of its beginnings, of the lengths that its key's heads have; only those with a `*` are compared
-    as patterns, after a look for what stands behind the last `*`. No rule list travels with the paths, and no join compares all pairs."""
-    head, tail = F.regexp_extract("pattern", r"^[^*$]*", 0), F.regexp_extract("pattern", r"([^*$]*)\$?$", 1)
-    indexed = rules.where("kind is not null").select(*key, head.alias("_head"), tail.alias("_tail"), "like_pattern", "kind", (F.col("len") * 2 + F.col("allow").cast("int")).alias("_rank"))
-    lengths = indexed.groupBy(*key).agg(F.collect_set(F.length("_head")).alias("_lengths"))  # at most the longest rule's length
-    rows = paths.select(*key, ident, "path").join(lengths, key)
-    rows = rows.select(*key, ident, "path", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
-    rows = rows.select(*key, ident, "path", F.expr("left(path, _n)").alias("_head"))
-    met = rows.join(indexed, [*key, "_head"])
-    # a plain prefix holds as its head does; only the others need the path again
+    paths: key, ident and path (normalised); rules: key, pattern, like_pattern, kind, len, allow. Each distinct path of a
+    key is decided once. Each rule has an anchor, a text that a path must begin with or hold, so that by a hash join on key
+    and anchor a path meets only rules whose anchor it has: no join compares all pairs, and the join's keys are spread also
+    where one key holds most paths. Beginnings are cut only in the lengths that a key's anchors have. Only rules with a `*`
+    are compared as patterns, after a look for what stands behind the last `*`. Rules without any literal match all paths of
+    their key: the first of them counts, once a key."""
+    anchor = _anchors(F.col("pattern"))
+    tail = F.regexp_extract("pattern", r"([^*$]*)\$?$", 1)
+    indexed = rules.where("kind is not null").select(*key, anchor.alias("_a"), tail.alias("_tail"), "like_pattern", "kind", (F.col("len") * 2 + F.col("allow").cast("int")).alias("_rank"))
+    indexed = indexed.select(*key, "_a.sort", "_a.text", "_tail", "like_pattern", "kind", "_rank")
+    whole = indexed.where("sort = 'any'").groupBy(*key).agg(F.max("_rank").alias("_whole"))
+    indexed = indexed.where("sort <> 'any'")
+    # at most the longest rule's length, and _GRAM
+    lengths = indexed.groupBy(*key).agg(F.collect_set(F.when(F.col("sort") == "head", F.length("text"))).alias("_heads"), F.collect_set(F.when(F.col("sort") == "gram", F.length("text"))).alias("_ns"))
+    distinct = paths.select(*key, "path").distinct()
+    heads = F.transform(F.filter("_heads", lambda n: n <= F.length("path")), lambda n: F.struct(F.lit("head").alias("sort"), F.left(F.col("path"), n).alias("text")))
+    grams = F.array_distinct(F.flatten(F.filter(F.transform("_ns", lambda n: _grams(F.col("path"), n)), lambda x: x.isNotNull())))
+    exact = F.array(F.struct(F.lit("exact").alias("sort"), F.col("path").alias("text")))
+    held = F.concat(heads, exact, F.transform(grams, lambda g: F.struct(F.lit("gram").alias("sort"), g.alias("text"))))
+    met = distinct.join(lengths, key).select(*key, "path", F.inline(held)).join(indexed, [*key, "sort", "text"])
+    # a plain prefix or ending holds as its anchor does; only the others need the path again
     like = F.call_function("like", "path", "like_pattern", F.lit("!"))
     holds = (
-        F.when(F.col("kind") == "prefix", True).when(F.col("kind") == "ending", F.col("path") == F.col("_head"))
+        F.when(F.col("kind").isin("prefix", "ending"), True)
         .when(F.col("kind") == "both", F.endswith("path", "_tail") & like).otherwise(F.contains("path", "_tail") & like)
     )
-    best = met.where(holds).groupBy(*key, ident).agg(F.max("_rank").alias("_rank"))
-    return best.select(*key, ident, F.shiftright("_rank", 1).alias("len"), (F.col("_rank") % 2 == 1).alias("allow"))
+    best = met.where(holds).groupBy(*key, "path").agg(F.max("_rank").alias("_rank"))
+    rows = paths.select(*key, ident, "path").join(best, [*key, "path"], "left").join(whole, key, "left")
+    rows = rows.select(*key, ident, F.greatest("_rank", "_whole").alias("_rank")).where("_rank is not null")
+    return rows.select(*key, ident, F.shiftright("_rank", 1).alias("len"), (F.col("_rank") % 2 == 1).alias("allow"))
 
 
 def verdicts(policies: DataFrame, urls: DataFrame, key: str = "robots_id", url: str = "loc", ident: str = "entry_id") -> DataFrame:

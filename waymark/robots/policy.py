@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 from waymark.functions.paths import is_universal, like_pattern, normalize_path, pattern_kind
 from waymark.robots import lexer
 
+# The labels of what came of fetching a robots document.
+ACCESS = ["Successful", "Redirect", "Unavailable", "Unreachable"]
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def access_label(text: Column) -> Column:
+    """One of ACCESS, whatever the case and the blanks around it; null for any other text."""
+    name = F.initcap(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
+    return F.when(name.isin(ACCESS), name)
+
+
 def delay_seconds(value: Column) -> Column:
     """Seconds as a double; null unless a finite number that isn't negative."""
     number = F.when(value.rlike(_NUMBER), F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double"))
@@ -77,10 +85,11 @@ def always(rules: Column) -> Column:
 def policies(documents: DataFrame, agents: DataFrame, optimal: bool = False, key: str = "robots_id", content: str = "content") -> DataFrame:
     """key, agent, selected, always, rules (null where always is set), crawl_delay, sitemaps of each document and agent.
 
-    With a column `access` in documents, redirected and unavailable documents allow everything, unreachable ones nothing.
+    With a column `access` in documents (see access_label), redirected and unavailable documents allow everything,
+    unreachable ones nothing; all others, those with an unknown label too, are read.
     A document is handled within its row: no shuffle, and streams of documents will do. agents has one column, agent: a
     handful of names."""
-    access = F.col("access") if "access" in documents.columns else F.lit(None).cast("string")
+    access = access_label(F.col("access")) if "access" in documents.columns else F.lit(None).cast("string")
     every = F.transform(lexer.lines(F.coalesce(F.col(content), F.lit(b""))), lexer.kind_and_value)
     rows = documents.select(key, access.alias("_access"), every.alias("_all"))
     lower = lambda x: F.when(x["kind"] == "user-agent", F.lower(x["value"])).otherwise(x["value"])
@@ -103,7 +112,7 @@ def policies(documents: DataFrame, agents: DataFrame, optimal: bool = False, key
     seconds = F.transform(F.filter("_held", lambda x: x["kind"] == "crawl-delay"), lambda x: delay_seconds(x["value"]))
     least = F.aggregate(seconds, F.lit(None).cast("double"), lambda held, s: F.when(s.isNotNull(), F.least(held, s)))  # one that isn't valid forgets those before
     rows = rows.withColumns({"_rules": sorted_rules(F.filter(made, lambda r: r["kind"].isNotNull())), "_delay": least})
-    fixed = F.when(F.col("_access").isin("redirect", "unavailable"), True).when(F.col("_access") == "unreachable", False)
+    fixed = F.when(F.col("_access").isin("Redirect", "Unavailable"), True).when(F.col("_access") == "Unreachable", False)
     free = fixed.isNull()
     one = F.when(~free, fixed).otherwise(always(F.col("_rules")) if optimal else F.lit(None).cast("boolean"))
     out = rows.select(
@@ -113,6 +122,24 @@ def policies(documents: DataFrame, agents: DataFrame, optimal: bool = False, key
     return out.select(key, "agent", "selected", "always", F.when(F.col("always").isNull(), F.col("_rules")).alias("rules"), "crawl_delay", "sitemaps")
 
 
+def from_always(allow: bool, agent: Column) -> list[Column]:
+    """The columns selected, always, rules, crawl_delay, sitemaps of a policy with one verdict; the agent stays as it is."""
+    none = F.lit(None).cast("array<struct<len:int,allow:boolean,pattern:string,like_pattern:string,kind:string>>")
+    return [
+        agent.alias("selected"), F.lit(allow).alias("always"), none.alias("rules"), F.lit(None).cast("double").alias("crawl_delay"),
+        F.array().cast("array<string>").alias("sitemaps"),
+    ]
+
+
+def same_policy(a: Column, b: Column, agent: bool = True) -> Column:
+    """Whether two policies (structs of selected, always, rules, crawl_delay, sitemaps) are equal; with agent=False, but for
+    the agent they were selected by. Rules are equal if pattern and verdict are. Null equals null."""
+    essence = lambda r: F.struct(r["allow"], r["pattern"])
+    equal = a["always"].eqNullSafe(b["always"]) & F.transform(a["rules"], essence).eqNullSafe(F.transform(b["rules"], essence))
+    equal = equal & a["crawl_delay"].eqNullSafe(b["crawl_delay"]) & a["sitemaps"].eqNullSafe(b["sitemaps"])
+    return equal & a["selected"].eqNullSafe(b["selected"]) if agent else equal
+
+
 def rule_count(rules: Column) -> Column:
     """How many rules a policy has; null where it is one verdict for all."""
     return F.when(rules.isNotNull(), F.size(rules))
@@ -135,20 +162,26 @@ _CACHED = "user_agent string, always boolean, allow array<string>, disallow arra
 def from_json(text: Column) -> Column:
     """struct(selected, always, rules, crawl_delay, sitemaps, error) of a cached policy.
 
-    error says why a text is no policy: both `always` and rules, neither, or no JSON. Patterns that can't be compiled are
-    dropped; the rules are sorted anew."""
+    error says why a text is no policy: `invalid` (no JSON, or no agent), `duplicate` (a field stands twice), `both` (`always`
+    beside a list of rules), `missing` (neither `always` nor both lists); the rest is null then. Unknown fields don't matter.
+    Patterns are normalised; those that can't be compiled are dropped; the rules are sorted anew."""
     p = F.from_json(text, _CACHED)
-    has_rules = p["allow"].isNotNull() | p["disallow"].isNotNull()
+    names = [c.split()[0] for c in _CACHED.split(", ")]
+    # a quote within a JSON string has a backslash before it, so only a field's name can stand like this
+    twice = F.greatest(*[F.regexp_count(text, F.lit(rf'(?<!\\)"{n}"\s*:')) for n in names]) > 1
+    any_, all_ = p["allow"].isNotNull() | p["disallow"].isNotNull(), p["allow"].isNotNull() & p["disallow"].isNotNull()
 
     def made(patterns: Column, allow: bool) -> Column:
-        rules = F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda x: F.struct(
+        normal = F.transform(F.filter(patterns, lambda x: x.isNotNull()), normalize_path)
+        rules = F.transform(normal, lambda x: F.struct(
             F.octet_length(x).alias("len"), F.lit(allow).alias("allow"), x.alias("pattern"), like_pattern(x).alias("like_pattern"), pattern_kind(x).alias("kind")))
         return F.filter(rules, lambda r: r["kind"].isNotNull())
 
     error = (
-        F.when(text.isNull() | p.isNull() | p["user_agent"].isNull(), "invalid").when(p["always"].isNotNull() & has_rules, "both")
-        .when(p["always"].isNull() & ~has_rules, "neither")
+        F.when(text.isNull() | p.isNull() | p["user_agent"].isNull(), "invalid").when(twice, "duplicate")
+        .when(p["always"].isNotNull() & any_, "both").when(p["always"].isNull() & ~all_, "missing")
     )
-    rules = F.when(p["always"].isNull(), sorted_rules(F.concat(made(p["allow"], True), made(p["disallow"], False))))
-    return F.struct(p["user_agent"].alias("selected"), p["always"].alias("always"), rules.alias("rules"),
-        (p["crawl_delay"]["secs"] + p["crawl_delay"]["nanos"] / 1e9).alias("crawl_delay"), p["sitemaps"].alias("sitemaps"), error.alias("error"))
+    good = lambda c: F.when(error.isNull(), c)
+    rules = good(F.when(p["always"].isNull(), sorted_rules(F.concat(made(p["allow"], True), made(p["disallow"], False)))))
+    return F.struct(good(p["user_agent"]).alias("selected"), good(p["always"]).alias("always"), rules.alias("rules"),
+        good(p["crawl_delay"]["secs"] + p["crawl_delay"]["nanos"] / 1e9).alias("crawl_delay"), good(p["sitemaps"]).alias("sitemaps"), error.alias("error"))
