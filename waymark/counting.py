@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,11 @@ def byte_counts(df: DataFrame, source: Column, read: Column, written: Column) ->
         F.coalesce(F.sum(F.octet_length(written)), F.lit(0)).cast("long").alias("writer_bytes"),
     )
     return sums.withColumn("total_bytes", F.col("reader_bytes") + F.col("writer_bytes"))
+
+
+def consumed(df: DataFrame, key: str, order: str, text: str, ends: int = 1) -> DataFrame:
+    """df with `consumed`: the bytes of a document that are read once a line of it is, with `ends` bytes for each line break.
+
+    key names the document, order the line's place; a document is read by one task, as its lines depend on each other."""
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("consumed", F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + ends).over(so_far))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark import counting
 from waymark.plans.policies import norm_sql, path_sql
 from waymark.plans.preparation import _LINES, table
 from waymark.operators.line_errors import loaded_lines
+from waymark.robots import policy
 from waymark.sitemap import build, parse, records
 from waymark.storage import materialise
 
@@ -95,6 +96,51 @@ def sitemap_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.expand(roots, documents).select("root", "loc")
 
 
+def sitemap_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of all hosts against the files of those that can be reached."""
+    hosts = table(spark, sf_dir, "hosts").select("host_id", F.col("host").alias("_name"), policy.access_label(F.col("access_result")).alias("_access"))
+    there = entries(spark, sf_dir).join(hosts.where("not _access <=> 'Unreachable'").drop("_access"), "host_id")
+    documents = materialise(build.site(there, "host_id", "_name").select("url", F.encode("content", "UTF-8").alias("content")), "sites")
+    roots = hosts.select(F.concat(F.lit("https://"), "_name", F.lit("/sitemap-index.xml")).alias("url"))
+    return parse.missing(roots, documents)
+
+
+def sitemap_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each host against a limit of 60 records and 9,000 bytes."""
+    built = [sitemap_txt_build(spark, sf_dir).select("host_id", F.lit("plain").alias("sort"), F.col("txt").alias("c")), sitemap_xml_build(spark, sf_dir).select("host_id", F.lit("urlset").alias("sort"), F.col("xml").alias("c"))]
+    files = built[0].unionByName(built[1]).select(F.struct("host_id", "sort").alias("url"), F.encode("c", "UTF-8").alias("content"))
+    return parse.over_limits(files, record_limit=60, byte_limit=9_000).select("url.host_id", "url.sort", "error", "over")
+
+
+def sitemap_damaged_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a host from its entries, each record damaged in one of six ways by its place: what is still read."""
+    rows = entries(spark, sf_dir).select("host_id", "loc", (F.row_number().over(Window.partitionBy("host_id").orderBy("loc")) - 1).alias("at"))
+    loc = records.escape(F.col("loc"))
+    texts = [
+        F.concat(F.lit("<url>\n <loc>"), loc, F.lit("</loc>\n</url>")), F.concat(F.lit("<url><loc><![CDATA["), F.col("loc"), F.lit("]]></loc></url>")),
+        F.concat(F.lit("<URL><loc>"), loc, F.lit("</loc></URL>")), F.concat(F.lit("<url><loc>"), loc, F.lit("&nope;</loc></url>")),
+        F.concat(F.lit("<!-- <url> --><url><lastmod>x</lastmod><loc>https://first.example/</loc><loc>"), loc, F.lit("</loc><x:y><loc>no</loc></x:y></url>")),
+        F.concat(F.lit("<url><loc/><priority>2</priority></url>")),
+    ]
+    text = F.element_at(F.array(*texts), F.pmod("at", F.lit(6)).cast("int") + 1)
+    files = rows.groupBy("host_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda r: r["t"]), "").alias("_all"))
+    documents = files.select("host_id", F.encode(F.concat(F.lit('<?xml version="1.0"?><!-- <sitemapindex> --><UrlSet>'), "_all", F.lit("</UrlSet>")), "UTF-8").alias("xml"))
+    return parse.xml_records(documents, "urlset", "host_id", "xml").select("host_id", "loc")
+
+
+def bytes_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line of the plain lists the bytes that are read with it."""
+    lines = sitemap_txt_build(spark, sf_dir).select("host_id", F.posexplode(F.split(F.regexp_replace("txt", "\n$", ""), "\n")).alias("pos", "line"))
+    return counting.consumed(lines, "host_id", "pos", "line").select("host_id", "pos", "consumed")
+
+
+def priority_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries made from locations and priorities; those without a valid one have the average one."""
+    made = records.entry(F.col("loc"), priority=records.effective_priority(F.col("priority")))
+    rows = table(spark, sf_dir, "entry_listings").select("entry_id", made.alias("e")).where("e is not null")
+    return rows.select("entry_id", "e.loc", "e.priority", (F.col("e.priority") >= records.MOST_PRIORITY).alias("most"))
+
+
 def sitemap_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small limits, to see them hold: of each host the records and bytes, and whether every file is within both."""
     rows = build.sharded(entries(spark, sf_dir).select("host_id", "loc"), "host_id", F.octet_length("loc") + 1, 100, 4_000)
@@ -111,7 +157,8 @@ QUERIES = {
     q.__name__: q
     for q in (
         freq_next, freq_outdated, priority_parse, priority_clamp, sitemap_txt_build, sitemap_xml_build, sitemap_index_build, sitemap_txt_parse,
-        sitemap_xml_parse, sitemap_index_parse, sitemap_detect, sitemap_auto, sitemap_limits, byte_counts,
+        sitemap_xml_parse, sitemap_index_parse, sitemap_detect, sitemap_auto, sitemap_limits, byte_counts, sitemap_missing, sitemap_over_limit,
+        sitemap_damaged_parse, bytes_consumed, priority_default,
     )
 }
 
@@ -151,4 +198,12 @@ q AS (SELECT line_id, CASE WHEN v BETWEEN 0 AND 1 THEN v END AS parsed FROM p) S
     "sitemap_auto": _ENTRIES + f"SELECT 'https://' || host || '/sitemap-index.xml' AS root, {_loc()} AS loc FROM entries JOIN hosts USING (host_id)",
     "sitemap_limits": _ENTRIES + "SELECT host_id, count(*) AS records, sum(strlen(loc) + 1)::BIGINT AS bytes, true AS within FROM entries GROUP BY ALL",
     "byte_counts": "SELECT *, reader_bytes + writer_bytes AS total_bytes FROM (SELECT coalesce(source, 'none') AS source, coalesce(sum(strlen(text)), 0)::BIGINT AS reader_bytes, coalesce(sum(strlen(agenda_item)), 0)::BIGINT AS writer_bytes FROM documents GROUP BY ALL)",
+    "sitemap_missing": _ENTRIES + """SELECT 'https://' || host || '/sitemap-index.xml' AS root, 'https://' || host || '/sitemap-index.xml' AS url, 'missing' AS error FROM hosts
+  WHERE lower(access_result) IS NOT DISTINCT FROM 'unreachable' OR host_id NOT IN (SELECT host_id FROM entries)""",
+    "sitemap_damaged_parse": _ENTRIES + f"SELECT host_id, {_loc()} AS loc FROM (SELECT host_id, loc, row_number() OVER (PARTITION BY host_id ORDER BY loc) - 1 AS k FROM entries) WHERE k % 6 IN (0, 4)",
+    "bytes_consumed": _ENTRIES + "SELECT host_id, (row_number() OVER w - 1)::INT AS pos, (sum(strlen(loc) + 1) OVER w)::BIGINT AS consumed FROM entries WINDOW w AS (PARTITION BY host_id ORDER BY loc)",
+    "priority_default": "SELECT entry_id, loc, CASE WHEN priority BETWEEN 0 AND 1 AND NOT isnan(priority) THEN priority::FLOAT ELSE 0.5::FLOAT END AS priority, coalesce(priority = 1, false) AS most FROM entry_listings WHERE loc IS NOT NULL",
 }
+_files = {k: ORACLES[k].removeprefix(_ENTRIES) for k in ("sitemap_txt_build", "sitemap_xml_build")}
+ORACLES["sitemap_over_limit"] = _ENTRIES + f""", f AS (SELECT host_id, 'plain' AS sort, records, strlen(txt) AS b FROM ({_files["sitemap_txt_build"]}) UNION ALL SELECT host_id, 'urlset', records, strlen(xml) FROM ({_files["sitemap_xml_build"]}))
+SELECT host_id, sort, 'EntryLimit' AS error, (records - 60)::BIGINT AS over FROM f WHERE records > 60 UNION ALL SELECT host_id, sort, 'ByteLimit', (b - 9000)::BIGINT FROM f WHERE b > 9000"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.sitemap.records import BYTE_LIMIT, RECORD_LIMIT, escape, lastmod_text, priority_text
 
+# What stands before a sitemap in XML, and its namespace.
 _PROLOG = "\ufeff<?xml version=\"1.0\" encoding=\"UTF-8\"?>"
 _SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 

@@ -11,9 +11,33 @@ INDEX = "loc string, lastmod timestamp, lastmod_offset_min int"
 
 # The change frequencies, and the length of each in hours (months and years have a fixed length).
 FREQUENCIES = {"always": None, "hourly": 1, "daily": 24, "weekly": 168, "monthly": 720, "yearly": 8760, "never": None}
+# The priorities that have a name; one that isn't given is the average one.
+LEAST_PRIORITY, AVERAGE_PRIORITY, MOST_PRIORITY = 0.0, 0.5, 1.0
 _TRIM = r"(?U)^\s+|\s+$"
 
 
+def entry(loc: Column, modified: Column | None = None, offset_min: Column | None = None, priority: Column | None = None, changefreq: Column | None = None) -> Column:
+    """struct of the columns of ENTRY; what isn't given is null. Null if loc is."""
+    given = {"loc": loc, "lastmod": modified, "lastmod_offset_min": offset_min, "priority": priority, "changefreq": changefreq}
+    return _record(ENTRY, given)
+
+
+def index(loc: Column, modified: Column | None = None, offset_min: Column | None = None) -> Column:
+    """struct of the columns of INDEX; what isn't given is null. Null if loc is."""
+    return _record(INDEX, {"loc": loc, "lastmod": modified, "lastmod_offset_min": offset_min})
+
+
+def _record(schema: str, given: dict) -> Column:
+    fields = [f.split() for f in schema.split(", ")]
+    values = [(F.lit(None) if given[n] is None else given[n]).cast(t).alias(n) for n, t in fields]
+    return F.when(given["loc"].isNotNull(), F.struct(*values))
+
+
+def effective_priority(value: Column) -> Column:
+    """The value if it is a valid priority, else the average one."""
+    return F.coalesce(priority(value), F.lit(AVERAGE_PRIORITY).cast("float"))
+
+
 def frequency(text: Column) -> Column:
     """One of the seven frequencies in lower case, or null."""
     name = F.lower(F.regexp_replace(text, _TRIM, ""))
