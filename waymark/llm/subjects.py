@@ -67,7 +67,7 @@ def sentences(text: str) -> list[list[str]]:
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
     n = 1
-    while n:  # brackets within brackets
+    while n and ("(" in text or "[" in text or "Hon. Member" in text):  # also brackets within brackets
         text, n = _ASIDE.subn(" ", text)
     return [w for s in _ENDS.split(text.lower()) if (w := _WORD.findall(s))]
 
