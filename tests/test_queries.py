@@ -38,5 +38,11 @@ def test_query(spark, sql, name):
         assert got == want
 
 
+@pytest.mark.parametrize("name", ["p1_found", "p5_found", "p5_entries", "p5_rules", "p5_delays", "priority_parse", "robots_wildcard_kind"])
+def test_python_runs_once(spark, name):
+    plan = project.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_entry(spark):
     assert project.entry(spark).count() > 0
