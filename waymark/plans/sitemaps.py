@@ -106,10 +106,10 @@ def sitemap_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of each host against a limit of 60 records and 9,000 bytes."""
+    """The files of each host against a limit of 5 records and 500 bytes."""
     built = [sitemap_txt_build(spark, sf_dir).select("host_id", F.lit("plain").alias("sort"), F.col("txt").alias("c")), sitemap_xml_build(spark, sf_dir).select("host_id", F.lit("urlset").alias("sort"), F.col("xml").alias("c"))]
     files = built[0].unionByName(built[1]).select(F.struct("host_id", "sort").alias("url"), F.encode("c", "UTF-8").alias("content"))
-    return parse.over_limits(files, record_limit=60, byte_limit=9_000).select("url.host_id", "url.sort", "error", "over")
+    return parse.over_limits(files, record_limit=5, byte_limit=500).select("url.host_id", "url.sort", "error", "over")
 
 
 def sitemap_damaged_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,4 +206,4 @@ q AS (SELECT line_id, CASE WHEN v BETWEEN 0 AND 1 THEN v END AS parsed FROM p) S
 }
 _files = {k: ORACLES[k].removeprefix(_ENTRIES) for k in ("sitemap_txt_build", "sitemap_xml_build")}
 ORACLES["sitemap_over_limit"] = _ENTRIES + f""", f AS (SELECT host_id, 'plain' AS sort, records, strlen(txt) AS b FROM ({_files["sitemap_txt_build"]}) UNION ALL SELECT host_id, 'urlset', records, strlen(xml) FROM ({_files["sitemap_xml_build"]}))
-SELECT host_id, sort, 'EntryLimit' AS error, (records - 60)::BIGINT AS over FROM f WHERE records > 60 UNION ALL SELECT host_id, sort, 'ByteLimit', (b - 9000)::BIGINT FROM f WHERE b > 9000"""
+SELECT host_id, sort, 'EntryLimit' AS error, (records - 5)::BIGINT AS over FROM f WHERE records > 5 UNION ALL SELECT host_id, sort, 'ByteLimit', (b - 500)::BIGINT FROM f WHERE b > 500"""
